@@ -8,7 +8,8 @@ max_grams grams, those with the largest counts, so that the broadcast is bounded
 
 A text goes to the language with the lowest cross-entropy per symbol. On a bounded sample of learnable documents the score (the
 softmax of scaled cross-entropies) and the rejection are calibrated: a text of at least MIN_SYMBOLS is rejected if its best
-cross-entropy is above what all but a thousandth of that language's calibration documents have, by a quarter.
+cross-entropy is above what all but a thousandth of that language's calibration documents have, by a quarter and SLACK: those
+documents were learned from, and clean text that was not is a little worse.
 
 Edge cases: text that is null, empty or without a letter is `und`, scored 0 and rejected, as is all text when nothing can be
 learned; ties go to the first language by name; a null doc_id is not learned from and not held out; other columns are ignored.
@@ -36,6 +37,8 @@ MAX_GRAMS = 400_000
 MAX_LANGUAGES = 1000
 CALIBRATION_ROWS = 20_000
 MIN_SYMBOLS = 20
+#: Nats per symbol by which text that was not learned may be worse, besides a quarter.
+SLACK = 0.75
 UNKNOWN = "und"
 TASK_ENTRIES = 1 << 21
 RESULT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -201,7 +204,7 @@ class Identifier:
         for k in range(len(self.langs)):
             mine = entropies[(truth == k) & (counts >= MIN_SYMBOLS), k]
             if len(mine) >= 20:
-                self.limits[k] = 1.25 * np.quantile(mine, 0.999)
+                self.limits[k] = 1.25 * np.quantile(mine, 0.999) + SLACK
 
 
 def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> list[tuple[np.ndarray, np.ndarray]]:

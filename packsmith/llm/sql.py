@@ -30,7 +30,27 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY r
 """
 
+def _secrets() -> str:
+    from packsmith.llm.secrets import BASE, RULES
+
+    quoted = [(k, r, r.pattern.replace("'", "''")) for k, r in enumerate(RULES)]
+    rules = " UNION ALL ".join(f"SELECT r, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}', {r.group}) AS g, {r.least} AS least FROM docs WHERE regexp_matches(t, '{p}')" for k, r, p in quoted)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({rules}),
+each AS (SELECT r, k, kind, m, b, g, least, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (SELECT r, k, kind, length(g[i]) AS own, least, length(m[i]) AS n,
+  CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM each),
+spans AS (SELECT r, k, s, concat(kind, ':', s, ':', s + n) AS span FROM placed WHERE own >= least),
+digest AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY s, k) FILTER (WHERE k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY s, k) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN digest USING (r)
+"""
+
+
 ORACLES = {
     "op1_decontamination": OP1,
+    "op5_secrets": _secrets(),
     "op8_line_dedup": OP8,
 }
