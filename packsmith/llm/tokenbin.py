@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsmith.llm.arrays import LOWER, bounded, per_row, runs, text_bytes
+from packsmith.llm.arrays import LOWER, bounded, per_row, ragged, runs, text_bytes
 from packsmith.llm.wordcache import WordCache
 from packsmith.session import scratch
 
 END_ID = 1
+#: Words that the library gets in one text.
+JOINED = 128
 PIECE_BYTES = 2 << 20
 MASK = 0xA282EAD8
 HEAD, FOOT, FIELDS = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqI")
@@ -66,11 +68,32 @@ def _cache(path: str) -> WordCache:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            found = [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        last = np.zeros(tokenizer.get_vocab_size(), bool)
+        last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+        def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
 
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            """Words of letters go to the library many at once; each has one id that ends a word."""
+            texts = [w.decode() for w in words]
+            letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+            own = [t for t, ok in zip(texts, letters.tolist(), strict=True) if ok]
+            ids, _ = ids_of([" ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)])
+            ends = np.flatnonzero(last[ids])
+            if len(ends) != len(own):  # some letters became more than one word
+                return ids_of(texts)
+            counts = np.zeros(len(texts), np.int64)
+            counts[letters] = np.diff(ends, prepend=-1)
+            others, counts[~letters] = ids_of([t for t, ok in zip(texts, letters.tolist(), strict=True) if not ok])
+            out = np.empty(int(counts.sum()), np.int32)
+            first = np.cumsum(counts) - counts
+            out[ragged(first[letters], counts[letters])] = ids
+            out[ragged(first[~letters], counts[~letters])] = others
+            return out, counts
+
         _caches[path] = WordCache(encode)
     return _caches[path]
 

@@ -12,43 +12,64 @@ from packsmith.llm.arrays import ragged, row_sums, span_hashes
 class WordCache:
     """Encodes the words of a batch: each distinct word once, and not again while it is remembered.
 
-    encode takes distinct words as bytes and returns their ids one after the other, and how many each has.
+    encode takes distinct words as bytes and returns their ids one after the other, and how many each has. The hashes are kept in
+    two sorted arrays, a large one and one of recent words that is merged into it from time to time.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.ids, self.used = np.zeros(4096, np.int32), 0
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.starts, self.counts, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
+        self.used = self.size = 0
 
-    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each of the sorted hashes, -1 where it isn't known."""
+        slots = np.full(len(hashes), -1, np.int32)
+        for known, own in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                slots[hit] = own[at[hit]]
+        return slots
+
+    def _add(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         ids, counts = self.encode(words)
-        slot, need = len(self.slots), len(self.slots) + len(words)
-        if need > len(self.starts):
-            self.starts, self.counts = np.resize(self.starts, 2 * need), np.resize(self.counts, 2 * need)
+        slots = np.arange(self.size, self.size + len(words), dtype=np.int32)
+        self.size += len(words)
+        if self.size > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros(self.size // 2 + len(words), np.int32)]) for x in (self.starts, self.counts))
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+            self.ids = np.concatenate([self.ids, np.zeros(self.used // 2 + len(ids), np.int32)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.counts[slot:need] = counts
-        self.starts[slot:need] = self.used + np.cumsum(counts) - counts
+        self.counts[slots] = counts
+        self.starts[slots] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.slots.update(zip(hashes, range(slot, need), strict=True))
+        large, recent = self.tables
+        recent = self._joined(recent, (hashes, slots))
+        if len(recent[0]) > max(1 << 15, len(large[0]) // 4):
+            large, recent = self._joined(large, recent), (recent[0][:0], recent[1][:0])
+        self.tables = [large, recent]
+        return slots
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in order, and how many each row has; n_words: words by row."""
-        if len(self.slots) > self.most:
+        if self.size > self.most:
             self.clear()
         hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        hashes = hashes.tolist()
-        get = self.slots.get
-        new = [k for k, h in enumerate(hashes) if get(h) is None]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            self._add([hashes[k] for k in new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.fromiter((get(h) for h in hashes), np.int64, len(hashes))[back]
-        counts = self.counts[slot]
-        return self.ids[ragged(self.starts[slot], counts)], row_sums(counts, n_words)
+        slots = self._find(hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw, at = data.tobytes(), first[new]
+            slots[new] = self._add(hashes[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        slots = slots[back]
+        counts = self.counts[slots].astype(np.int64)
+        return self.ids[ragged(self.starts[slots].astype(np.int64), counts)], row_sums(counts, n_words)
