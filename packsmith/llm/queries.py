@@ -53,6 +53,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packsmith.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -61,4 +67,5 @@ QUERIES = {
     "op6_token_records": op6_token_records,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op10_nearest": op10_nearest,
 }
