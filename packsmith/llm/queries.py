@@ -27,6 +27,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packsmith.llm import licenses
+
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packsmith.llm import secrets
 
@@ -53,6 +59,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packsmith.llm import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packsmith.llm import ann
 
@@ -63,9 +75,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op6_token_records": op6_token_records,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_nearest": op10_nearest,
 }
