@@ -146,7 +146,7 @@ def matches(run: Run, high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
 def _pack(run: Run, buckets: int) -> pa.RecordBatch:
@@ -298,7 +298,9 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, digest: bool = False, first
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines.n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
             else:
                 kept = pa.array([t.decode() for t in texts], mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))
-                new = {"text": kept, "n_chars": pc.utf8_length(kept).cast(pa.int64())}
+                new = {"text": kept}
+                if "n_chars" in columns:
+                    new["n_chars"] = pc.utf8_length(kept).cast(batch.column("n_chars").type)
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], names=columns)
 
     return base.mapInArrow(rows, schema)
