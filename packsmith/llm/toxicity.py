@@ -28,7 +28,7 @@ from packsmith.llm.arrays import ALNUM, LOWER, U64, bounded, per_row, runs, span
 DIM_BITS = 20
 #: Bytes of a word's beginning that are features besides the word.
 STEMS, STEM_SALT = (5, 6, 7, 8), U64(0xD6E8FEB86659FD93)
-POSITIVES, UNLABELLED = 5_000, 20_000
+POSITIVES, UNLABELLED = 4_000, 12_000
 PIECE_BYTES = 4 << 20
 STEPS, RATE, DECAY = 200, 0.1, 1e-3
 #: A word is a feature if so many toxic examples have it and its likelihood ratio against equal shares is at least this.
@@ -89,18 +89,17 @@ def likelihood_ratio(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.nda
 def fit(rows: list[tuple[np.ndarray, np.ndarray, bool]], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
     """Train on (features, values, is toxic) rows by the non-negative risk; Adam on all rows."""
     toxic = np.array([t for _, _, t in rows], bool)
-    counts = np.array([len(f) for f, _, _ in rows], np.int64)
-    at, values = (np.concatenate([r[k] for r in rows]) for k in range(2))
-    row = np.repeat(np.arange(len(rows)), counts)
     n_toxic, n_rest = int(toxic.sum()), int((~toxic).sum())
-    seen, rest = (np.bincount(at[own[row]], minlength=1 << DIM_BITS) for own in (toxic, ~toxic))
-    telling = (seen >= LEAST_TEXTS) & (likelihood_ratio(seen, n_toxic, rest, n_rest) >= LEAST_RATIO)
+    seen = {True: np.zeros(1 << DIM_BITS, np.int64), False: np.zeros(1 << DIM_BITS, np.int64)}
+    for at, _, own in rows:
+        seen[own][at] += 1
+    telling = (seen[True] >= LEAST_TEXTS) & (likelihood_ratio(seen[True], n_toxic, seen[False], n_rest) >= LEAST_RATIO)
     telling[0] = True
     chosen = np.flatnonzero(telling)
-    place = np.full(1 << DIM_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[at] >= 0
-    row, at, values = row[keep], place[at[keep]], values[keep]
+    place = np.cumsum(telling) - 1
+    kept = [(place[at[keep]], values[keep]) for at, values, _ in rows for keep in [telling[at]]]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in kept])
+    at, values = np.concatenate([x for x, _ in kept]), np.concatenate([v for _, v in kept]).astype(np.float64)
     prior = min(max(prior, 1e-4), 0.5)
     theta = np.zeros(len(chosen) + 1)
     theta[-1] = np.log(prior / (1 - prior))
