@@ -103,42 +103,59 @@ class Scanner:
     def _minimum(own: np.ndarray, factor: np.uint32) -> np.uint32:
         return ((own >> U64(32)).astype(np.uint32) * factor).min()
 
-    def windows(self, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First shingles of all blocks, the row of each, and whether the next block is of the same row."""
-        blocks = -(-n // size)
-        row = np.repeat(np.arange(len(n)), blocks)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        first = (np.cumsum(n) - n)[row] + size * place
-        return first, row, np.r_[row[1:] == row[:-1], False][: len(row)]
+    def chains(self, n: np.ndarray) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
+        """For block sizes 2, 4, 8, ... and 3, 6, 12, ...: the shingles of rows filled up to whole blocks of the largest size with
+        their own last one, which changes no minimum; the sizes; and where each row begins in that order."""
+        for base in (2, 3):
+            most = max((size for size, *_ in self.blocks if size // (size & -size) == (1, 3)[base == 3]), default=0)
+            if most:
+                filled = -(-n // most) * most
+                begin = np.cumsum(filled) - filled
+                row = np.repeat(np.arange(len(n)), filled)
+                place = np.minimum(np.arange(len(row)) - begin[row], n[row] - 1)
+                yield (np.cumsum(n) - n)[row] + place, [base << k for k in range((most // base).bit_length())], begin
 
     def candidates(self, hashes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, template, first shingle of the row, window's start, window's end) that share a band."""
-        high, ends = (hashes >> U64(32)).astype(np.uint32), np.cumsum(n)
-        if not len(high):
+        if not len(hashes):
             return
-        found: list[list[np.ndarray]] = [[] for _ in self.blocks]
-        cuts = [self.windows(n, size) for size, *_ in self.blocks]
-        for band, factor in enumerate(self.factors):
-            values = high * factor
-            for k, (_, _, order, minima) in enumerate(self.blocks):
-                first, _, more = cuts[k]
-                least = np.minimum.reduceat(values, first)
-                at = np.flatnonzero(more)
-                least[at] = np.minimum(least[at], least[at + 1])
-                place = np.searchsorted(minima[band], least)
-                place[place == minima.shape[1]] = 0
-                hit = np.flatnonzero(minima[band][place] == least)
-                while len(hit):  # equal minima of several templates stand side by side
-                    found[k].append(hit * len(self.names) + order[band][place[hit]])
-                    place[hit] += 1
-                    hit = hit[place[hit] < minima.shape[1]]
-                    hit = hit[minima[band][place[hit]] == least[hit]]
-        for k, (size, own, *_) in enumerate(self.blocks):
-            first, row, _ = cuts[k]
-            for pair in np.unique(np.concatenate(found[k])).tolist() if found[k] else ():
-                window, template = divmod(pair, len(self.names))
-                start = int(first[window])
-                yield int(row[window]), int(own[template]), int(ends[row[window]] - n[row[window]]), start, min(start + 2 * size, int(ends[row[window]]))
+        high, ends, used = (hashes >> U64(32)).astype(np.uint32), np.cumsum(n), {size: rest for size, *rest in self.blocks}
+        for order, sizes, begin in self.chains(n):
+            filled, found = high[order], {size: [] for size in sizes}
+            for band, factor in enumerate(self.factors):
+                least = filled * factor
+                for size in sizes:
+                    parts = [least[k :: sizes[0]] for k in range(sizes[0])] if size == sizes[0] else [least[0::2], least[1::2]]
+                    least = np.minimum(parts[0], parts[1])
+                    for more in parts[2:]:
+                        least = np.minimum(least, more)
+                    if size in used:
+                        both = np.r_[np.minimum(least[:-1], least[1:]), least[-1:]]
+                        found[size] += self._equal(both, *(x[band] for x in used[size][1:]))
+            for size in sizes:
+                for pair in np.unique(np.concatenate(found[size])).tolist() if found[size] else ():
+                    window, template = divmod(pair, len(self.names))
+                    row = int(np.searchsorted(begin, window * size, side="right")) - 1
+                    base = int(ends[row] - n[row])
+                    start = base + window * size - int(begin[row])
+                    if start < ends[row]:
+                        yield row, int(used[size][0][template]), base, start, min(start + 2 * size, int(ends[row]))
+
+    def _equal(self, least: np.ndarray, order: np.ndarray, minima: np.ndarray) -> Iterator[np.ndarray]:
+        """Windows whose minimum is that of a template, as window * number of templates + the template's place."""
+        if len(minima) <= 8:
+            for k, own in zip(order.tolist(), minima, strict=True):
+                if len(hit := np.flatnonzero(least == own)):
+                    yield hit * len(self.names) + k
+            return
+        place = np.searchsorted(minima, least)
+        place[place == len(minima)] = 0
+        hit = np.flatnonzero(minima[place] == least)
+        while len(hit):  # equal minima of several templates stand side by side
+            yield hit * len(self.names) + order[place[hit]]
+            place[hit] += 1
+            hit = hit[place[hit] < len(minima)]
+            hit = hit[minima[place[hit]] == least[hit]]
 
     def scan(self, column: pa.Array) -> list[dict[int, tuple[float, int, int]]]:
         """For each row its templates: the largest containment, and the words from the first to the last shared shingle there."""

@@ -53,6 +53,15 @@ def test_templates_in_context(spark):
     assert sum("mit-terms" in g for g in got) >= 7
 
 
+def test_many_templates(spark):
+    """More templates of one size than are compared one by one."""
+    rng = __import__("random").Random(2)
+    own = {f"t{k}": " ".join(rng.choices("one two three four five six seven".split(), k=14)) for k in range(40)} | {"twin": "a b c d e f", "twins": "a b c d e f"}
+    rows = [(k, " ".join(rng.choices([*own.values(), "some other text"], k=4))) for k in range(60)]
+    got = lc.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), own).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *plain(t, own)) for i, t in rows)
+
+
 def test_edge_cases(spark):
     t = lc.TEMPLATES["mit-line"]
     check(spark, [(1, None), (2, ""), (3, "too few words"), (None, t), (5, t), (5, t), (6, "é " * 30_000 + t + " 中" * 30_000)])
