@@ -1,4 +1,357 @@
-"""Queries of the byte-content operators, and their DuckDB equivalents."""
+"""Queries of the byte-content operators over the driver's tables, and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import hashlib
+import io
+import zipfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packsmith.functions import scalars, transforms
+from packsmith.operators import dedup, delta, pack, profile
+from packsmith.plans import oracles
+from packsmith.plans.constants import CHUNKS
+from packsmith.session import scratch, stored, table
+from packsmith.sources import archives, items
+
+
+def _docs(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
+    return items.text_items(table(spark, sf_dir, "documents"), "doc_id", "text", ".txt", keep)
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by language, so that the thresholds for files are reached."""
+    return items.grouped_items(_docs(spark, sf_dir, ["lang"]), "lang").withColumn("path", F.concat("path", F.lit(".txt")))
+
+
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(_docs(spark, sf_dir)).withColumnRenamed("item_id", "doc_id")
+
+
+def entropy_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.profile(_docs(spark, sf_dir, ["source", "lang"]), keep=["source", "lang"])
+    return found.groupBy("source", "lang").agg(F.count("*").alias("n"), (F.floor(F.sum(F.round(F.col("entropy") * 1000).cast("bigint")).cast("double") * 10 / F.count("*") + 0.5) / 10000).alias("avg_entropy"), F.min("entropy").alias("min_entropy"), F.max("entropy").alias("max_entropy"))
+
+
+def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.byte_histogram(_docs(spark, sf_dir)).groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def profile_pages_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = items.text_items(table(spark, sf_dir, "pages"), "page_id", "html", keep=["url"])
+    kind = scalars.detect_kind(F.col("url"), F.col("content"))
+    return pages.select(F.col("item_id").alias("page_id"), kind.alias("kind")).withColumn("steps", F.array_join(scalars.suggest_pipeline(F.col("kind")), ","))
+
+
+def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("length")
+    return _docs(spark, sf_dir).select(F.col("item_id").alias("doc_id"), scalars.format_size(size).alias("size_h"), scalars.target_for_mode(size, F.lit("balanced")).alias("target_balanced"), scalars.target_for_mode(size, F.lit("ultra")).alias("target_ultra"))
+
+
+def mode_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presets joined as a dimension: each order priority stands for a mode."""
+    modes = F.create_map(*[F.lit(x) for pair in zip(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ["fast", "balanced", "maximum", "best", "extreme"], strict=True) for x in pair])
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", F.floor("o_totalprice").alias("size"), modes[F.col("o_orderpriority")].alias("mode"))
+    target = F.greatest(F.lit(1).cast("bigint"), (F.col("size") * F.col("target_ratio")).cast("bigint"))
+    return scalars.with_preset(orders).groupBy(F.col("o_orderpriority").alias("mode")).agg(F.count("*").alias("n"), F.sum(target).alias("target"))
+
+
+def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes written in five ways and read again."""
+    size = F.col("p_size").cast("string")
+    text = F.element_at(F.array(size, F.concat(size, F.lit("KB")), F.concat(size, F.lit(" m")), F.concat(F.lit(" "), size, F.lit("gb")), F.concat((F.col("p_size") * 1.5).cast("string"), F.lit("K"))), (F.col("p_partkey") % 5).cast("int") + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.parse_size(text).alias("bytes"))
+
+
+def filename_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalars.sanitize_filename(F.col("url")).alias("safe_name"))
+
+
+def dedup_exact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_copies(_docs(spark, sf_dir))
+
+
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_stats(dedup.lines(_docs(spark, sf_dir)))
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.chunks(_docs(spark, sf_dir), *CHUNKS)
+
+
+def cdc_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir).select(F.col("item_id").alias("doc_id"), "seq", "pos", "len")
+
+
+def cdc_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_stats(_chunked(spark, sf_dir))
+
+
+def cdc_gear_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the windowed hash: how much more of the corpus lines up."""
+    return dedup.dedup_stats(dedup.chunks(_docs(spark, sf_dir), *CHUNKS, mode="gear"))
+
+
+def _verified(restored: DataFrame, originals: DataFrame) -> DataFrame:
+    want = originals.select("item_id", F.sha2("content", 256).alias("want"))
+    got = F.sha2("content", 256)
+    return restored.join(want, "item_id").select(F.col("item_id").alias("doc_id"), F.octet_length("content").cast("bigint").alias("size"), got.alias("sha256"), (got == F.col("want")).alias("verified"))
+
+
+def manifest_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = _docs(spark, sf_dir), stored(_chunked(spark, sf_dir), "pieces")
+    return _verified(dedup.restore(dedup.manifest(pieces), dedup.first_pieces(pieces), docs), docs)
+
+
+def delta_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an even id are the base, the others the new version."""
+    pieces = stored(_chunked(spark, sf_dir).drop("data"), "pieces")
+    return delta.delta_stats(pieces.where("item_id % 2 = 0"), pieces.where("item_id % 2 = 1"))
+
+
+def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = _docs(spark, sf_dir), stored(_chunked(spark, sf_dir), "pieces")
+    base, new = pieces.where("item_id % 2 = 0"), pieces.where("item_id % 2 = 1")
+    odd = docs.where("item_id % 2 = 1")
+    return _verified(delta.apply_delta(base, *delta.create_delta(base, new), odd), odd)
+
+
+def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even documents are stored twice, those of odd ones asked for."""
+    lines = dedup.lines(_docs(spark, sf_dir))
+    store = dedup.BlobStore(spark, scratch(spark, "blobs"))
+    even = lines.where("item_id % 2 = 0")
+    store.put(even)
+    store.put(even)
+    asked = lines.where("item_id % 2 = 1").select("sha").distinct()
+    found = store.get(asked).agg(F.count("*").alias("asked"), F.count(F.when(F.col("found"), 1)).alias("found"))
+    return found.crossJoin(store.table().agg(F.count("*").alias("stored"))).select("stored", "asked", "found")
+
+
+def _digest(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id, bytes and a hash of the hexadecimal digits of the encoding."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [transforms.apply_transform(d or b"", name) for d in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(o) for o in out], pa.int64()), pa.array([hashlib.sha256(o.hex().encode()).hexdigest() for o in out])], names=["doc_id", "n", "sha256"])
+
+    return docs.select("item_id", "content").mapInArrow(rows, "doc_id bigint, n bigint, sha256 string")
+
+
+def delta8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_docs(spark, sf_dir), "delta8")
+
+
+def xor8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_docs(spark, sf_dir), "xor8")
+
+
+def delta16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_docs(spark, sf_dir), "delta16le")
+
+
+def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through every transform and back."""
+    names = list(transforms.ENCODERS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                back = [transforms.invert_transform(transforms.apply_transform(data or b"", n), n) for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(names), pa.int64()), pa.array(names), pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "transform", "size", "sha256"])
+
+    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, transform string, size bigint, sha256 string")
+
+
+def xor_with_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [transforms.xor_with(d or b"", d or b"") for d in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(o) for o in out], pa.int64()), pa.array([not any(o) for o in out], pa.bool_())], names=["doc_id", "n", "zero"])
+
+    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, n bigint, zero boolean")
+
+
+def png_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([transforms.pick_stride(d or b"") for d in batch.column("content").to_pylist()], pa.int32())], names=["doc_id", "stride"])
+
+    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, stride int")
+
+
+def png_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each row filter is best at a stride of 16, and the sum of the best scores."""
+    schema = "doc_id bigint, rows bigint, score bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint, f4 bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if not data:
+                    out.append([item] + [0] * 7)
+                    continue
+                padded = np.zeros(-(-len(data) // 16) * 16, np.uint8)
+                padded[: len(data)] = np.frombuffer(data, np.uint8)
+                scores = transforms.filter_score(transforms.filtered_rows(padded.reshape(-1, 16)))
+                best = scores.argmin(axis=0)
+                out.append([item, len(best), int(scores.min(axis=0).sum()), *np.bincount(best, minlength=5).tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(8)], names=names)
+
+    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, schema)
+
+
+def bwt_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transform of every part name, as text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [transforms.bwt_encode_block(n.encode()) for n in batch.column("p_name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), pa.array([last.decode() for _, last in found]), pa.array([p for p, _ in found], pa.int32())], names=["p_partkey", "last_col", "primary_row"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(rows, "p_partkey bigint, last_col string, primary_row int")
+
+
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.codec_sizes(_docs(spark, sf_dir)).select(F.col("item_id").alias("doc_id"), "codec", "orig", "sha256", "verified")
+
+
+def best_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.best_codec(pack.codec_sizes(_docs(spark, sf_dir)))
+
+
+def smart_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.analyse(_grouped(spark, sf_dir))
+
+
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, certified and restored."""
+    packed = stored(pack.pack(_docs(spark, sf_dir), verify=False), "packed")
+    certs = pack.certify(packed).select(F.col("pkg_id").alias("item_id"), "verdict")
+    back = pack.unpack(packed).select(F.col("pkg_id").alias("item_id"), "kind", F.col("size").alias("orig_size"), "sha256", "verified")
+    return back.join(certs, "item_id").select(F.col("item_id").alias("doc_id"), "kind", "orig_size", "sha256", "verdict", "verified")
+
+
+def container_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined documents, packed with dedup and transforms in the race."""
+    packed = pack.pack(_grouped(spark, sf_dir), mode="fast", advanced=True, chunk_sizes=(4096, 16384, 65536))
+    return pack.pack_stats(packed).join(packed.select("item_id", "verified"), "item_id")
+
+
+def container_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    back = pack.unpack(pack.pack_v1(docs, "fast"), version="any")
+    return _verified(back.select(F.col("pkg_id").alias("item_id"), "content"), docs)
+
+
+def container_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers parsed in SQL."""
+    packed = pack.pack(_docs(spark, sf_dir), mode="fast", verify=False)
+    return packed.select(F.col("item_id").alias("doc_id"), pack.header(F.col("package")).alias("h")).select("doc_id", "h.v", "h.meta.kind", "h.meta.orig_size", "h.error_class")
+
+
+def tamper_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five kinds of damage to every package; each must be refused."""
+    packed = stored(pack.pack(_docs(spark, sf_dir), mode="fast", verify=False), "packed")
+    p, n = F.col("package"), F.octet_length("package")
+
+    def flipped(at) -> F.Column:
+        byte = F.conv(F.hex(F.substring(p, at, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(0x55))
+        return F.concat(F.substring(p, F.lit(1), at - 1), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.substring(p, at + 1, n))
+
+    damages = {"body": flipped(n - 2), "header": flipped(F.lit(9)), "magic": flipped(F.lit(1)), "cut": F.substring(p, F.lit(1), n - 5)}
+    out = None
+    for name, bad in damages.items():
+        own = pack.unpack(packed.select("item_id", bad.alias("package"))).select(F.col("pkg_id").alias("doc_id"), F.lit(name).alias("damage"), F.col("error_class").isNotNull().alias("refused"))
+        out = own if out is None else out.unionByName(own)
+    capped = pack.unpack(packed, cap=1).select(F.col("pkg_id").alias("doc_id"), F.lit("cap").alias("damage"), (F.col("error_class") == "OutputLimitError").alias("refused"))
+    return out.unionByName(capped)
+
+
+def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("item_id", F.sha2("content", 256).alias("want"), F.col("content").alias("package"))
+    sealed = stored(pack.encrypt(docs, "correct horse"), "sealed")
+    right = pack.decrypt(sealed, "correct horse")
+    wrong = pack.decrypt(sealed, "battery staple").select("item_id", F.col("error_class").alias("wrong_key"))
+    got = F.sha2("package", 256)
+    return right.join(wrong, "item_id").select(F.col("item_id").alias("doc_id"), got.alias("sha256"), (got == F.col("want")).alias("ok"), "wrong_key")
+
+
+def benchmark_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack.benchmark(_grouped(spark, sf_dir), ["fast", "balanced"])
+    names = _grouped(spark, sf_dir).select("item_id", F.regexp_replace("path", r"\.txt$", "").alias("lang"))
+    return rows.join(names, "item_id").select("lang", "mode", "orig", "verified")
+
+
+def zip_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a language as a stored archive, recompressed, and compared member by member."""
+    parts = _docs(spark, sf_dir, ["lang"]).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("parts"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, members in zip(batch.column("lang").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    for m in members:
+                        archive.writestr(m["path"], m["content"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([out.getvalue()], pa.binary())], names=["lang", "content"])
+
+    made = stored(parts.mapInArrow(rows, "lang string, content binary").withColumn("item_id", F.xxhash64("lang")), "archives")
+    better = archives.recompress_zips(made)
+    members = archives.zip_members(made)
+    counts = members.groupBy("item_id").agg(F.count("*").alias("members"), F.sum("length").alias("bytes"))
+    same = archives.compare_archives(members, archives.zip_members(better.where("error_class is null")))
+    return made.select("item_id", "lang").join(counts, "item_id").join(same, "item_id").select("lang", "members", "bytes", "same")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        profile_documents, entropy_by_source, byte_histogram, profile_pages_kind, size_format, mode_targets, parse_sizes, filename_hygiene,
+        dedup_exact_documents, dedup_lines, cdc_chunks_documents, cdc_dedup_stats, cdc_gear_stats, manifest_restore, delta_create, delta_apply,
+        blob_store, delta8_encode, xor8_encode, delta16_encode, transform_roundtrip, xor_with_self, png_stride, png_row_filter, bwt_part_names,
+        codec_roundtrip, best_codec, smart_select, container_roundtrip, container_advanced, container_v1, container_headers, tamper_detected,
+        encrypt_roundtrip, benchmark_modes, zip_recompress,
+    )
+}
+ORACLES = {
+    "profile_documents": oracles.PROFILE,
+    "entropy_by_source": oracles.ENTROPY_BY_SOURCE,
+    "byte_histogram": oracles.HISTOGRAM,
+    "profile_pages_kind": oracles.KINDS,
+    "size_format": oracles.SIZES,
+    "mode_targets": oracles.TARGETS,
+    "parse_sizes": oracles.PARSE,
+    "filename_hygiene": oracles.FILENAMES,
+    "dedup_exact_documents": oracles.EXACT,
+    "dedup_lines": oracles.LINES,
+    "cdc_chunks_documents": oracles.CDC,
+    "cdc_dedup_stats": oracles.CDC_STATS,
+    "manifest_restore": oracles.RESTORED,
+    "delta_create": oracles.DELTA_STATS,
+    "delta_apply": oracles.RESTORED_ODD,
+    "blob_store": oracles.BLOBS,
+    "delta8_encode": oracles.DELTA8,
+    "xor8_encode": oracles.XOR8,
+    "delta16_encode": oracles.DELTA16,
+    "transform_roundtrip": oracles.TRANSFORMS,
+    "xor_with_self": oracles.XOR_WITH,
+    "png_stride": oracles.STRIDE,
+    "png_row_filter": oracles.PNG_ROWS,
+    "bwt_part_names": oracles.BWT,
+    "codec_roundtrip": oracles.CODECS,
+    "container_roundtrip": oracles.PACKED,
+    "container_v1": oracles.RESTORED,
+    "container_headers": oracles.HEADERS,
+    "tamper_detected": oracles.TAMPERED,
+    "encrypt_roundtrip": oracles.ENCRYPTED,
+    "benchmark_modes": oracles.BENCH,
+    "zip_recompress": oracles.MEMBERS,
+}
