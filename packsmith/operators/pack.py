@@ -176,7 +176,7 @@ def certify(packed: DataFrame, id_col: str = "item_id", compat: bool = False) ->
 def certificate_lines(certs: DataFrame) -> DataFrame:
     """Certificates as text, one line for each check."""
     marks = F.transform("checks", lambda c: F.concat(F.lit("  ["), F.when(c["ok"], "OK ").otherwise("FAIL"), F.lit("] "), c["check"], F.lit(": "), c["detail"]))
-    return certs.select("pkg_id", F.concat_ws("\n", F.concat(F.lit("certificate: "), F.coalesce("orig_name", F.lit("?"))), F.concat(F.lit("verdict: "), "verdict", F.lit(" | quality: "), "quality"), F.array_join(marks, "\n")).alias("text"))
+    return certs.select("pkg_id", "verdict", F.concat_ws("\n", F.concat(F.lit("certificate: "), F.coalesce("orig_name", F.lit("?"))), F.concat(F.lit("verdict: "), "verdict", F.lit(" | quality: "), "quality"), F.array_join(marks, "\n")).alias("text"))
 
 
 def analyse(items: DataFrame) -> DataFrame:
