@@ -32,7 +32,7 @@ from packsmith.session import stored
 
 ORDER, BITS = 5, 12
 MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 MAX_GRAMS = 400_000
 MAX_LANGUAGES = 1000
 CALIBRATION_ROWS = 20_000
@@ -140,14 +140,16 @@ def lookup(hashes: np.ndarray, values: np.ndarray, keys: np.ndarray, default: fl
 
 
 def probabilities(orders: list[Order], keys: np.ndarray) -> np.ndarray:
-    """The interpolated probability of the last symbol of each 5-gram given the four before."""
-    p = np.full(len(keys), 1.0 / (1 << BITS))
-    for k, order in enumerate(orders, 1):
-        own = keys & U64(MASKS[k])
-        weight, _ = lookup(order.contexts, order.weights, own >> U64(BITS), 1.0)
-        found, hit = lookup(order.grams, order.probs, own, 0.0)
-        p = np.where(hit, found, weight * p)
-    return p
+    """The interpolated probability of the last symbol of each 5-gram given the four before; only unknown grams back off."""
+    if not orders:
+        return np.full(len(keys), 1.0 / (1 << BITS))
+    own = keys & U64(MASKS[len(orders)])
+    found, hit = lookup(orders[-1].grams, orders[-1].probs, own, 0.0)
+    rest = np.flatnonzero(~hit)
+    if len(rest):
+        weight, _ = lookup(orders[-1].contexts, orders[-1].weights, own[rest] >> U64(BITS), 1.0)
+        found[rest] = weight * probabilities(orders[:-1], own[rest])
+    return found
 
 
 def fit_language(counts: list[tuple[np.ndarray, np.ndarray]], singles: list[tuple[int, int]]) -> list[Order]:

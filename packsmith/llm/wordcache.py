@@ -16,7 +16,7 @@ class WordCache:
     two sorted arrays, a large one and one of recent words that is merged into it from time to time.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
