@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from packsmith.functions import scalars, transforms
 from packsmith.operators import dedup, delta, pack, profile
 from packsmith.plans import oracles
-from packsmith.plans.constants import CHUNKS
+from packsmith.plans.constants import CHUNKS, SHELF
 from packsmith.session import scratch, stored, table
 from packsmith.sources import archives, items
 
@@ -24,9 +24,15 @@ def _docs(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
     return items.text_items(table(spark, sf_dir, "documents"), "doc_id", "text", ".txt", keep)
 
 
+def _shelved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their shelf: language and thousand of the id, so that no shelf grows with the table."""
+    shelf = F.concat_ws("-", F.coalesce("lang", F.lit("none")), F.floor(F.col("item_id") / SHELF).cast("string"))
+    return _docs(spark, sf_dir, ["lang"]).withColumn("shelf", shelf)
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined by language, so that the thresholds for files are reached."""
-    return items.grouped_items(_docs(spark, sf_dir, ["lang"]), "lang").withColumn("path", F.concat("path", F.lit(".txt")))
+    """Documents joined by shelf, so that the thresholds for files are reached."""
+    return items.grouped_items(_shelved(spark, sf_dir), "shelf").withColumn("path", F.concat("path", F.lit(".txt")))
 
 
 def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,29 +292,30 @@ def encrypt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pack.benchmark(_grouped(spark, sf_dir), ["fast", "balanced"])
-    names = _grouped(spark, sf_dir).select("item_id", F.regexp_replace("path", r"\.txt$", "").alias("lang"))
-    return rows.join(names, "item_id").select("lang", "mode", "orig", "verified")
+    names = _shelved(spark, sf_dir).select(F.xxhash64("shelf").alias("item_id"), "lang").distinct()
+    return rows.join(names, "item_id").groupBy("lang", "mode").agg(F.sum("orig").alias("orig"), F.bool_and("verified").alias("verified"))
 
 
 def zip_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a language as a stored archive, recompressed, and compared member by member."""
-    parts = _docs(spark, sf_dir, ["lang"]).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("parts"))
+    """Documents of a shelf as a stored archive, recompressed, and compared member by member."""
+    parts = _shelved(spark, sf_dir).groupBy("shelf", "lang").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("parts"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, members in zip(batch.column("lang").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            for shelf, lang, members in zip(*(batch.column(c).to_pylist() for c in ("shelf", "lang", "parts")), strict=True):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
                     for m in members:
                         archive.writestr(m["path"], m["content"])
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([out.getvalue()], pa.binary())], names=["lang", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([shelf]), pa.array([lang], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["shelf", "lang", "content"])
 
-    made = stored(parts.mapInArrow(rows, "lang string, content binary").withColumn("item_id", F.xxhash64("lang")), "archives")
+    made = stored(parts.mapInArrow(rows, "shelf string, lang string, content binary").withColumn("item_id", F.xxhash64("shelf")), "archives")
     better = archives.recompress_zips(made)
     members = archives.zip_members(made)
     counts = members.groupBy("item_id").agg(F.count("*").alias("members"), F.sum("length").alias("bytes"))
     same = archives.compare_archives(members, archives.zip_members(better.where("error_class is null")))
-    return made.select("item_id", "lang").join(counts, "item_id").join(same, "item_id").select("lang", "members", "bytes", "same")
+    each = made.select("item_id", "lang").join(counts, "item_id").join(same, "item_id")
+    return each.groupBy("lang").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.bool_and("same").alias("same"))
 
 
 QUERIES = {
