@@ -39,7 +39,9 @@ from packsmith.session import scratch
 END_ID = 1
 #: Words that the library gets in one text.
 JOINED = 128
-PIECE_BYTES = 2 << 20
+#: Characters that the library gets in one call, about.
+TEXTS_BYTES = 1 << 18
+PIECE_BYTES = 1 << 20
 MASK = 0xA282EAD8
 HEAD, FOOT, FIELDS = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqI")
 #: Bytes that part words: white space to any tokenizer that drops it.
@@ -55,7 +57,7 @@ INDEX_SCHEMA = "shard string, part int, record bigint, offset bigint, length big
 _caches: dict[str, WordCache] = {}
 
 
-def masked(data: bytes) -> int:
+def masked(data: bytes | memoryview) -> int:
     crc = zlib.crc32(data)
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
@@ -72,9 +74,13 @@ def _cache(path: str) -> WordCache:
         last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
         def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
+            parts = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+            step = max(1, TEXTS_BYTES // max(map(len, texts), default=1))
+            for k in range(0, len(texts), step):  # the library's results are large, so few live at once
+                found = [x.ids for x in tokenizer.encode_batch_fast(texts[k : k + step], add_special_tokens=False)]
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                parts.append((np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts))
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
         def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             """Words of letters go to the library many at once; each has one id that ends a word."""
@@ -136,7 +142,7 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return length + FOOT.pack(masked(length)) + payload + FOOT.pack(masked(payload))
 
 
-def records(shard: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
+def records(shard: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length, doc_id, ids) of each record; ValueError where a checksum or a length is wrong."""
     at, end = 0, len(shard)
     while at < end:
@@ -209,7 +215,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for name, shard in zip(batch.column("path"), batch.column("content"), strict=True):
                 name = name.as_py().rsplit("/", 1)[-1]
                 found, start = [], 0
-                for k, (offset, length, doc_id, ids) in enumerate(records(shard.as_buffer().to_pybytes())):
+                for k, (offset, length, doc_id, ids) in enumerate(records(memoryview(shard.as_buffer()))):
                     found.append((name, int(name.split("-")[1]), k, offset, length, doc_id, len(ids), start, zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 types = [pa.string(), pa.int32()] + [pa.int64()] * 7
