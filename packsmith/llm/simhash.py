@@ -32,8 +32,8 @@ SHINGLE = 3
 SEED = 42
 PIECE_BYTES = 4 << 20
 FINGERPRINTS_AT_ONCE = 4096
-#: Variants in a hash bucket, about.
-BUCKET_VARIANTS = 1 << 21
+#: Variants in a hash bucket, and those that one task emits, about.
+BUCKET_VARIANTS, TASK_VARIANTS = 1 << 21, 1 << 25
 SPREAD = U64(0x9E3779B97F4A7C15)
 GATHER = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BITS = [1 << k for k in range(64)]
@@ -172,9 +172,11 @@ def link_forest(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = fps.count() * (len(NEAR) + len(FAR) / 2)
-    bits = min(16, max(4, int(np.ceil(np.log2(max(1.0, expected / BUCKET_VARIANTS))))))
-    blocks = fps.select("fp").mapInArrow(_emit(bits), "bucket int, width int, gaps binary, codes binary")
-    dealt = blocks.repartition(min(parts, 1 << bits), "bucket").sortWithinPartitions("bucket")
+    bits = min(20, max(4, int(np.ceil(np.log2(max(parts, expected / BUCKET_VARIANTS))))))
+    # Few bytes of fingerprints become many of variants, so they are first dealt to enough tasks.
+    tasks = max(parts, int(expected // TASK_VARIANTS) + 1)
+    blocks = fps.select("fp").repartition(tasks).mapInArrow(_emit(bits), "bucket int, width int, gaps binary, codes binary")
+    dealt = blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     return dealt.mapInArrow(_links(bits), "a bigint, b bigint").where("a <> b")
 
 
