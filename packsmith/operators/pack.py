@@ -25,6 +25,7 @@ from packsmith import errors
 from packsmith.functions import codecs, packages, transforms
 from packsmith.functions.scalars import detect_kind, format_size, lenient_mode, ratio_stats, target_for_mode
 from packsmith.operators.profile import with_entropy
+from packsmith.session import spread
 
 # Fixed values.
 MAGIC_ENCRYPTED, ITERATIONS, SALT_BYTES, NONCE_BYTES = "TQZE", 200_000, 16, 12
@@ -47,7 +48,7 @@ def _rowwise(df: DataFrame, schema: str, work: Callable[..., tuple], columns: li
                 found = work(*(x.as_py() for x in row))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(rows, parsed)
+    return spread(df.select(*columns)).mapInArrow(rows, parsed)
 
 
 def _error(e: Exception) -> str:
@@ -212,7 +213,7 @@ def codec_sizes(items: DataFrame, mode: str = "balanced") -> DataFrame:
                     out.append((item, codec, len(data), len(packed), hashlib.sha256(back).hexdigest(), back == data))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["item_id", "codec", "orig", "new", "sha256", "verified"])
 
-    return items.select("item_id", "content").mapInArrow(rows, "item_id bigint, codec string, orig bigint, new bigint, sha256 string, verified boolean")
+    return spread(items.select("item_id", "content")).mapInArrow(rows, "item_id bigint, codec string, orig bigint, new bigint, sha256 string, verified boolean")
 
 
 def best_codec(sizes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from packsmith.functions import scalars, transforms
 from packsmith.operators import dedup, delta, pack, profile
 from packsmith.plans import oracles
 from packsmith.plans.constants import CHUNKS, SHELF
-from packsmith.session import scratch, stored, table
+from packsmith.session import scratch, spread, stored, table
 from packsmith.sources import archives, items
 
 
@@ -172,7 +172,7 @@ def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 back = [transforms.invert_transform(transforms.apply_transform(data or b"", n), n) for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(names), pa.int64()), pa.array(names), pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "transform", "size", "sha256"])
 
-    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, transform string, size bigint, sha256 string")
+    return spread(_docs(spark, sf_dir).select("item_id", "content")).mapInArrow(rows, "doc_id bigint, transform string, size bigint, sha256 string")
 
 
 def xor_with_self(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df for work that costs far more than moving its rows: dealt to all cores if its files are too small to fill them.
+
+    Large inputs, which have enough partitions as they are read, are left alone.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    unit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(per_core * cores) if size < cores * unit else df
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
     """Rows of docs whose id is not in ids (distinct, non-null). The ids are broadcast only when counted below limit."""
     ids = ids.select(F.col(id_col).alias("__id"))
