@@ -1,5 +1,6 @@
 """License scans against exact containment of all templates in all windows."""
 
+import random
 import re
 
 import pytest
@@ -55,7 +56,7 @@ def test_templates_in_context(spark):
 
 def test_many_templates(spark):
     """More templates of one size than are compared one by one."""
-    rng = __import__("random").Random(2)
+    rng = random.Random(2)
     own = {f"t{k}": " ".join(rng.choices("one two three four five six seven".split(), k=14)) for k in range(40)} | {"twin": "a b c d e f", "twins": "a b c d e f"}
     rows = [(k, " ".join(rng.choices([*own.values(), "some other text"], k=4))) for k in range(60)]
     got = lc.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), own).collect()
