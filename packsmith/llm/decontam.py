@@ -10,7 +10,8 @@ size is thus bounded whatever the test set has. Documents never leave their segm
 all documents share costs no more than any other text of its length.
 
 Edge cases: a null or empty text has no words, hence n_words = 0 and no hits; a null doc_id is kept as null; repeated rows are
-reported row by row; an empty test set marks nothing; other columns of the inputs are ignored.
+reported row by row; an empty test set marks nothing; items that share an id are one item, and those with a null id one with an empty
+name; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def _block(rows: list[tuple[str | None, np.ndarray]], window: int) -> dict:
     out = {}
     for width, parts in by_width.items():
         grams, back = np.unique(np.concatenate([g for _, g in parts]), axis=0, return_inverse=True)
-        names = [str(item) for item, _ in parts]
+        names = [item or "" for item, _ in parts]
         pairs = np.unique(np.stack([back.ravel(), np.repeat(np.arange(len(parts)), [len(g) for _, g in parts])], axis=1), axis=0)
         terms, grams = np.unique(grams, return_inverse=True)
         out[width] = (terms, grams.reshape(-1, width), np.searchsorted(pairs[:, 0], np.arange(pairs[-1, 0] + 2)), pairs[:, 1], names)

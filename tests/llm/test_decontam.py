@@ -24,7 +24,7 @@ def plain(text, items, window=13):
             for at in range(len(own) - k + 1):
                 if tuple(own[at : at + k]) == g:
                     hit.update(range(at, at + k))
-                    names.add(str(item))
+                    names.add("" if item is None else str(item))
     joined = ",".join(sorted(names))
     return len(own), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(own)
 
@@ -32,7 +32,7 @@ def plain(text, items, window=13):
 def corpus():
     rng = random.Random(3)
     vocab = [f"w{k}" for k in range(60)] + ["é", "中文", "The", "X1"]
-    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(25)] + [(100, "Short item"), (101, ""), (102, None), (103, "a " * 30), (104, "the the the the")]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(25)] + [(100, "Short item"), (101, ""), (102, None), (103, "a " * 30), (104, "the the the the"), (None, "null id item"), (7, "second text of item seven")]
     docs = []
     for k in range(60):
         parts = []
@@ -43,7 +43,7 @@ def corpus():
                 a = rng.randint(0, max(0, len(w) - 13))
                 parts.append(rng.choice([" ", ", ", "\n"]).join(w[a : a + rng.choice([12, 13, 20, 40])]).upper())
         docs.append((k, " ".join(parts)))
-    docs += [(None, items[0][1]), (200, None), (201, ""), (202, "a " * 20_000), (203, "the THE the, the; the"), (5, items[3][1]), (5, items[3][1]), (300, "short"), (301, "item short item")]
+    docs += [(None, items[0][1]), (200, None), (201, ""), (202, "a " * 20_000), (203, "the THE the, the; the"), (5, items[3][1]), (5, items[3][1]), (300, "short"), (301, "item short item"), (302, "x null id item y second text of item seven")]
     return docs, items
 
 
