@@ -13,6 +13,7 @@ from packsmith.functions.scalars import AUTO_CAP_BYTES, AUTO_CAP_RATIO
 PRIORITY = ("zstd", "brotli", "lzma", "bz2", "gzip", "store")
 ZSTD_LEVEL = {"fast": 3, "balanced": 12, "max": 19, "ultra": 22, "extreme": 22, "micro_800k": 22}
 LZMA_PRESET = {"fast": 1, "balanced": 6, "max": 9, "ultra": 9, "extreme": 9, "micro_800k": 9}
+LZMA_DICTIONARY = {1: 1 << 20, 6: 8 << 20, 9: 64 << 20}
 BROTLI_QUALITY = {"fast": 4, "balanced": 8, "max": 11, "ultra": 11, "extreme": 11, "micro_800k": 11}
 BLOCK = 1 << 20
 
@@ -38,7 +39,10 @@ def compress(data: bytes, codec: str = "auto", mode: str = "balanced") -> bytes:
     if codec == "brotli" and (brotli := _module("brotli")):
         return brotli.compress(data, quality=BROTLI_QUALITY.get(mode, 8))
     if codec == "lzma":
-        return lzma.compress(data, preset=LZMA_PRESET.get(mode, 6))
+        # A dictionary beyond the data's size only costs time to set up.
+        preset = LZMA_PRESET.get(mode, 6)
+        size = min(LZMA_DICTIONARY[preset], max(1 << 12, 1 << len(data).bit_length()))
+        return lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": size}])
     if codec == "bz2":
         return bz2.compress(data, 9)
     if codec == "gzip":
