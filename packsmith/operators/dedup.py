@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packsmith.functions.arrow import in_batches, items_of
 from packsmith.functions.chunking import AVG_CHUNK, MAX_CHUNK, MIN_CHUNK, boundaries
 
 CHUNK_SCHEMA = "item_id bigint, seq int, pos bigint, len int, data binary"
@@ -19,15 +20,17 @@ CHUNK_SCHEMA = "item_id bigint, seq int, pos bigint, len int, data binary"
 def chunks(items: DataFrame, least: int = MIN_CHUNK, average: int = AVG_CHUNK, most: int = MAX_CHUNK, mode: str = "compat") -> DataFrame:
     """Content-defined chunks: item_id, seq, pos, len, sha, data. An empty item has none."""
 
+    schema = pa.schema([("item_id", pa.int64()), ("seq", pa.int32()), ("pos", pa.int64()), ("len", pa.int32()), ("data", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            start = 0
+            for seq, end in enumerate(boundaries(data or b"", least, average, most, mode)):
+                yield item, seq, start, end - start, data[start:end]
+                start = end
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                ends = boundaries(data or b"", least, average, most, mode)
-                starts = [0, *ends[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(ends), pa.int64()), pa.array(range(len(ends)), pa.int32()), pa.array(starts[: len(ends)], pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=False)], pa.int32()), pa.array([data[a:b] for a, b in zip(starts, ends, strict=False)], pa.binary())],
-                    names=["item_id", "seq", "pos", "len", "data"],
-                )
+        return in_batches(cut(batches), schema)
 
     found = items.select("item_id", "content").mapInArrow(rows, CHUNK_SCHEMA)
     return found.select("item_id", "seq", "pos", "len", F.sha2("data", 256).alias("sha"), "data")

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from packsmith import errors
 from packsmith.functions import codecs, packages, transforms
+from packsmith.functions.arrow import in_batches, items_of
 from packsmith.functions.scalars import detect_kind, format_size, lenient_mode, ratio_stats, target_for_mode
 from packsmith.operators.profile import with_entropy
 from packsmith.session import spread
@@ -36,17 +37,14 @@ META_SCHEMA = "v int, kind string, codec string, method string, pre string, tran
 
 
 def _rowwise(df: DataFrame, schema: str, work: Callable[..., tuple], columns: list[str]) -> DataFrame:
-    """df's columns row by row through work, in Arrow batches; each result leaves at once, so that one item is in memory."""
+    """df's columns row by row through work; results leave in batches of bounded size."""
     parsed = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(parsed)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(batch.column(c) for c in columns), strict=True):
-                found = work(*(x.as_py() for x in row))
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
+        return in_batches((work(*row) for row in items_of(batches, columns)), arrow)
 
     return spread(df.select(*columns)).mapInArrow(rows, parsed)
 
@@ -203,15 +201,18 @@ def codec_sizes(items: DataFrame, mode: str = "balanced") -> DataFrame:
     """(item_id, codec, orig, new, sha256 of the decoded bytes, verified) for every codec: encode, then decode."""
     known = codecs.available_codecs()
 
+    schema = pa.schema([("item_id", pa.int64()), ("codec", pa.string()), ("orig", pa.int64()), ("new", pa.int64()), ("sha256", pa.string()), ("verified", pa.bool_())])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            data = data or b""
+            for codec in known:
+                packed = codecs.compress(data, codec, mode)
+                back = codecs.decompress(packed, codec, len(data) + 1)
+                yield item, codec, len(data), len(packed), hashlib.sha256(back).hexdigest(), back == data
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                data, out = data or b"", []
-                for codec in known:
-                    packed = codecs.compress(data, codec, mode)
-                    back = codecs.decompress(packed, codec, len(data) + 1)
-                    out.append((item, codec, len(data), len(packed), hashlib.sha256(back).hexdigest(), back == data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["item_id", "codec", "orig", "new", "sha256", "verified"])
+        return in_batches(sizes(batches), schema)
 
     return spread(items.select("item_id", "content")).mapInArrow(rows, "item_id bigint, codec string, orig bigint, new bigint, sha256 string, verified boolean")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packsmith.functions.arrow import in_batches, items_of
 from packsmith.functions.scalars import verdict
 
 SAMPLE_BYTES = 1 << 20
@@ -40,11 +41,15 @@ def profile(items: DataFrame, sample: int = SAMPLE_BYTES, keep: list[str] = ())
 def byte_histogram(items: DataFrame) -> DataFrame:
     """(item_id, byte, n) for every byte value that occurs."""
 
+    schema = pa.schema([("item_id", pa.int64()), ("byte", pa.int32()), ("n", pa.int64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            counts = np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
+            for byte in np.flatnonzero(counts).tolist():
+                yield item, byte, int(counts[byte])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                counts = np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
-                own = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(counts[own], pa.int64())], names=["item_id", "byte", "n"])
+        return in_batches(counted(batches), schema)
 
     return items.select("item_id", "content").mapInArrow(rows, "item_id bigint, byte int, n bigint")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsmith.functions import scalars, transforms
+from packsmith.functions.arrow import in_batches, items_of
 from packsmith.operators import dedup, delta, pack, profile
 from packsmith.plans import oracles
 from packsmith.plans.constants import CHUNKS, SHELF
@@ -164,13 +165,16 @@ def delta16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document through every transform and back."""
-    names = list(transforms.ENCODERS)
+    schema = pa.schema([("doc_id", pa.int64()), ("transform", pa.string()), ("size", pa.int64()), ("sha256", pa.string())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            for name in transforms.ENCODERS:
+                back = transforms.invert_transform(transforms.apply_transform(data or b"", name), name)
+                yield item, name, len(back), hashlib.sha256(back).hexdigest()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for item, data in zip(batch.column("item_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                back = [transforms.invert_transform(transforms.apply_transform(data or b"", n), n) for n in names]
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(names), pa.int64()), pa.array(names), pa.array([len(b) for b in back], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b in back])], names=["doc_id", "transform", "size", "sha256"])
+        return in_batches(both(batches), schema)
 
     return spread(_docs(spark, sf_dir).select("item_id", "content")).mapInArrow(rows, "doc_id bigint, transform string, size bigint, sha256 string")
 
