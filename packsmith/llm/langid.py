@@ -3,8 +3,10 @@
 Texts become symbols: lower-case letters by code point (those above 2,047 share 2,048 classes by a hash), and one symbol for any
 stretch of other characters. Five symbols of 12 bits fill one 60-bit key. The counts of all 5-grams of all learnable
 documents are summed in Spark; orders four to one count the distinct continuations. A model keeps for each order the sorted hashes
-of its grams with their interpolated probabilities, and of its contexts with their back-off weights. Each order of a language keeps at most
-max_grams grams, those with the largest counts, so that the broadcast is bounded by languages x 9 x max_grams x 16 bytes.
+of its grams with their interpolated probabilities, and of its contexts with their back-off weights. Every gram counts: beyond
+BLOCK_GRAMS the grams are cut by their context, read backwards, into blocks of about that many. A block holds the contexts of its range
+and all that they back off to, so its probabilities are those of the whole model; the texts are read once per block, each adds up the
+grams of its range, and only one block is broadcast at a time.
 
 A text goes to the language with the lowest cross-entropy per symbol. On a bounded sample of learnable documents the score (the
 softmax of scaled cross-entropies) and the rejection are calibrated: a text of at least MIN_SYMBOLS is rejected if its best
@@ -20,12 +22,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from packsmith.llm.arrays import U64, bounded, mixed
 from packsmith.session import stored
@@ -33,7 +36,8 @@ from packsmith.session import stored
 ORDER, BITS = 5, 12
 MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 PIECE_BYTES = 2 << 20
-MAX_GRAMS = 400_000
+#: Grams of all orders and languages in a block, and so in a broadcast.
+BLOCK_GRAMS = 6_000_000
 MAX_LANGUAGES = 1000
 CALIBRATION_ROWS = 20_000
 MIN_SYMBOLS = 20
@@ -41,6 +45,10 @@ MIN_SYMBOLS = 20
 SLACK = 0.75
 UNKNOWN = "und"
 TASK_ENTRIES = 1 << 21
+#: Rejected texts up to this number are broadcast.
+BROADCAST_TEXTS = 1_000_000
+#: Two hashes that tell texts apart, of 128 bits together.
+TEXT_KEY = {"__text_a": "xxhash64(text)", "__text_b": "xxhash64(1, text)"}
 RESULT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
@@ -113,6 +121,26 @@ def count_grams(docs: DataFrame, langs: list[str]) -> DataFrame:
     return docs.mapInArrow(rows, "lang int, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+#: Contexts read backwards, from the symbol next to the gram's last, are below this.
+ALL_CONTEXTS = 1 << (BITS * (ORDER - 1))
+
+
+def backwards(keys: np.ndarray) -> np.ndarray:
+    """The context of each 5-gram read backwards: what it backs off to is a prefix of it."""
+    out = np.zeros(len(keys), U64)
+    for k in range(1, ORDER):
+        out |= ((keys >> U64(BITS * k)) & U64(MASKS[1])) << U64(BITS * (ORDER - 1 - k))
+    return out
+
+
+def _backwards(order: int):
+    """The same of a column of grams of an order, filled up with zeros: the first of the 5-grams' contexts that it is a prefix of."""
+    out = F.lit(0).cast("bigint")
+    for k in range(1, order):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright("key", BITS * k).bitwiseAND(MASKS[1]), BITS * (ORDER - 1 - k)))
+    return out
+
+
 @dataclass
 class Order:
     """One order of one language: sorted hashes of grams with probabilities, and of contexts with back-off weights."""
@@ -169,22 +197,29 @@ def fit_language(counts: list[tuple[np.ndarray, np.ndarray]], singles: list[tupl
 
 
 class Identifier:
-    """The models of all languages, with calibration; small enough to broadcast."""
+    """The models of all languages, or a block of them, with calibration; small enough to broadcast."""
 
-    def __init__(self, langs: list[str], models: list[list[Order]]) -> None:
-        self.langs, self.models = langs, models
+    def __init__(self, langs: list[str], models: list[list[Order]], low: int = 0, high: int = ALL_CONTEXTS) -> None:
+        self.langs, self.models, self.low, self.high = langs, models, low, high
         self.scale, self.limits = 1.0, np.full(len(langs), np.inf)
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each row under each language, the rows' numbers of symbols, and whether they have letters."""
+        """Cross-entropy per symbol of each row under each language, the rows' numbers of symbols, and whether they have letters.
+
+        Of a block: the share of the grams in its range, so that the blocks' entropies add up.
+        """
         keys, counts, letters = grams(column)
         distinct, back = np.unique(keys, return_inverse=True)
         out = np.zeros((len(counts), len(self.langs)))
         some = np.flatnonzero(counts)
         first = (np.cumsum(counts) - counts)[some]
+        context = backwards(distinct)
+        own = np.flatnonzero((context >= U64(self.low)) & (context < U64(self.high)))
         for k, model in enumerate(self.models):
             if len(some):
-                out[some, k] = -np.add.reduceat(np.log(probabilities(model, distinct))[back], first) / counts[some]
+                logs = np.zeros(len(distinct))
+                logs[own] = np.log(probabilities(model, distinct[own]))
+                out[some, k] = -np.add.reduceat(logs[back], first) / counts[some]
         return out, counts, letters
 
     def decide(self, entropies: np.ndarray, counts: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +244,7 @@ class Identifier:
                 self.limits[k] = 1.25 * np.quantile(mine, 0.999) + SLACK
 
 
-def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> DataFrame:
     """The grams of each language with the largest counts, at most max_grams of them."""
     levels = table.groupBy("lang", F.floor(F.log2("n")).alias("level")).count().collect()
     least = []
@@ -221,46 +256,111 @@ def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> list[tuple[n
                 break
             total += count
         least.append(1 << floor)
-    found = table.where(F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in least]), F.col("lang") + 1)).toArrow()
-    lang, keys, n = (found.column(c).to_numpy() for c in ("lang", "key", "n"))
-    return [(keys[lang == k].view(U64), n[lang == k].astype(np.float64)) for k in range(langs)]
+    return table.where(F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in least]), F.col("lang") + 1))
 
 
-def learn(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Fit one model per language to rows (lang, text, key); key orders the bounded calibration sample."""
+@dataclass
+class Grams:
+    """Stored tables (lang, key, n) of orders 1 to 5, how many grams count once and twice, and where the blocks begin and end."""
+
+    langs: list[str]
+    tables: list[DataFrame]
+    singles: list[list[tuple[int, int]]]
+    cuts: list[int]
+
+    def block(self, b: int) -> Identifier:
+        """The models of the contexts in a block, with all that these back off to."""
+        low, high, counts = self.cuts[b], self.cuts[b + 1], []
+        for order, table in enumerate(self.tables, 1):
+            if len(self.cuts) > 2:
+                begin, width = _backwards(order), 1 << (BITS * (ORDER - order))
+                table = table.where((begin < high) & (begin + F.lit(width) > low))
+            found = table.toArrow()
+            lang, keys, n = (found.column(c).to_numpy() for c in ("lang", "key", "n"))
+            counts.append([(keys[lang == k].view(U64), n[lang == k].astype(np.float64)) for k in range(len(self.langs))])
+        return Identifier(self.langs, [fit_language([c[k] for c in counts], [s[k] for s in self.singles]) for k in range(len(self.langs))], low, high)
+
+
+def gather(docs: DataFrame, block_grams: int = BLOCK_GRAMS, max_grams: int | None = None) -> Grams:
+    """The grams of rows (lang, text), all of them unless max_grams asks for fewer of each language and order."""
     docs = docs.where("lang is not null and text is not null")
     sizes = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Identifier([], [])
-    top = stored(count_grams(docs, langs), "grams")
-    tables, singles = [top], []
+        return Grams([], [], [], [0, ALL_CONTEXTS])
+    tables, singles, total = [stored(count_grams(docs, langs), "grams")], [], 0
     for k in range(ORDER - 1, 0, -1):
         lower = tables[0].groupBy("lang", F.col("key").bitwiseAND(MASKS[k]).alias("key")).agg(F.count("*").alias("n"))
         tables.insert(0, stored(lower, f"grams{k}"))
-    counts = []
     for t in tables:
-        rare = {(r["lang"], r["n"]): r["count"] for r in t.where("n <= 2").groupBy("lang", "n").count().collect()}
+        found = t.groupBy("lang", F.least("n", F.lit(3)).alias("n")).count().collect()
+        rare = {(r["lang"], r["n"]): r["count"] for r in found}
         singles.append([(rare.get((k, 1), 0), rare.get((k, 2), 0)) for k in range(len(langs))])
-        counts.append(_bounded_grams(t, len(langs), max_grams))
-    models = [fit_language([c[k] for c in counts], [s[k] for s in singles]) for k in range(len(langs))]
-    fitted = Identifier(langs, models)
-    share = min(1.0, calibration_rows / sum(r["count"] for r in sizes))
-    held = docs.sparkSession.sparkContext.broadcast(fitted)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", PIECE_BYTES):
-            found, n, letters = held.value.entropies(batch.column("text"))
-            own = np.flatnonzero(letters)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(own)), pa.array(n[own], pa.int64()), pa.array(list(found[own]), pa.list_(pa.float64()))], names=["lang", "n", "h"])
-
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("lang", "text")
-    rows = sample.mapInArrow(measured, "lang string, n bigint, h array<double>").collect()
-    if rows:
-        place = {lang: k for k, lang in enumerate(langs)}
-        fitted.calibrate(np.array([r.h for r in rows]), np.array([r.n for r in rows]), np.array([place[r.lang] for r in rows]))
+        total += sum(rare.values())
+    if max_grams is not None:
+        return Grams(langs, [_bounded_grams(t, len(langs), max_grams) for t in tables], singles, [0, ALL_CONTEXTS])
+    cuts, blocks = [], -(-total // block_grams)
+    if blocks > 1:
+        places = [t.select(_backwards(k).alias("at")) for k, t in enumerate(tables, 1)]
+        shares = [k / blocks for k in range(1, blocks)]
+        cuts = reduce(DataFrame.unionAll, places).agg(F.percentile_approx("at", shares, max(10_000, 20 * blocks))).first()[0]
+    return Grams(langs, tables, singles, sorted({0, *cuts, ALL_CONTEXTS}))
+
+
+def measured(docs: DataFrame, found: Grams | Identifier) -> DataFrame:
+    """The rows, without text, with their number of symbols n, letters (whether they have any) and the entropies h by language; stored."""
+    spark, keep = docs.sparkSession, [f for f in docs.schema.fields if f.name != "text"]
+    added = [("n", pa.int64()), ("letters", pa.bool_()), ("h", pa.list_(pa.float64()))]
+
+    def pass_over(rows: DataFrame, model: Identifier, name: str) -> DataFrame:
+        held = spark.sparkContext.broadcast(model)
+        own = [f.name for f in rows.schema.fields if f.name != "text"]
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in bounded(batches, "text", PIECE_BYTES):
+                h, n, letters = held.value.entropies(batch.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1], pa.int32()), pa.array(h.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(n, pa.int64()), pa.array(letters), lists], names=[*own, *[c for c, _ in added]])
+
+        schema = StructType([f for f in rows.schema.fields if f.name != "text"]).add("n", "long").add("letters", "boolean").add("h", ArrayType(DoubleType()))
+        out = stored(rows.mapInArrow(measure, schema), name)
+        held.destroy()
+        return out
+
+    blocks = 1 if isinstance(found, Identifier) else len(found.cuts) - 1
+    if blocks == 1:
+        return pass_over(docs, found if isinstance(found, Identifier) else found.block(0), "entropies")
+    # What is measured depends on the text alone, so the blocks' shares meet by its hash and no text is moved.
+    keyed = docs.withColumns({k: F.expr(x) for k, x in TEXT_KEY.items()})
+    shares = [pass_over(keyed.select(*TEXT_KEY, "text"), found.block(b), "shares").dropDuplicates(list(TEXT_KEY)) for b in range(blocks)]
+    sums = [F.sum(F.col("h")[k]).alias(f"h{k}") for k in range(len(found.langs))]
+    whole = reduce(DataFrame.unionAll, shares).groupBy(*TEXT_KEY).agg(F.first("n").alias("n"), F.first("letters").alias("letters"), *sums)
+    whole = whole.select(*TEXT_KEY, "n", "letters", F.array(*[f"h{k}" for k in range(len(found.langs))]).alias("h"))
+    return stored(keyed.drop("text").join(whole, list(TEXT_KEY)).select(*[f.name for f in keep], "n", "letters", "h"), "entropies")
+
+
+def _measures(batch: pa.RecordBatch, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = batch.column("h").flatten().to_numpy(zero_copy_only=False)
+    return h.reshape(batch.num_rows, langs), batch.column("n").to_numpy(), batch.column("letters").to_numpy(zero_copy_only=False)
+
+
+def calibrated(fitted: Identifier, rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> None:
+    """Calibrate with a sample of measured rows (lang, key, n, letters, h) that have a language."""
+    rows = rows.where("lang is not null and letters")
+    share = min(1.0, calibration_rows / max(1, rows.count()))
+    found = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("lang", "n", "h").collect()
+    if found:
+        place = {lang: k for k, lang in enumerate(fitted.langs)}
+        fitted.calibrate(np.array([r.h for r in found]), np.array([r.n for r in found]), np.array([place[r.lang] for r in found]))
+
+
+def learn(docs: DataFrame, max_grams: int | None = None) -> Identifier:
+    """Fit one model per language to rows (lang, text, key), in one block, with all grams or the most frequent max_grams of each order."""
+    docs = docs.where("lang is not null and text is not null")
+    fitted = gather(docs, sys.maxsize, max_grams).block(0)
+    calibrated(fitted, measured(docs, fitted))
     return fitted
 
 
@@ -268,34 +368,44 @@ def _fold(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def learn_documents(docs: DataFrame) -> Identifier:
-    """Learn from the documents that are not held out (crc32 of doc_id mod 4 is 2: held out)."""
-    return learn(docs.where(_fold("doc_id") != 2).select("lang", "text", F.col("doc_id").alias("key")))
+def _taught(docs: DataFrame, *keep) -> DataFrame:
+    """The kept columns, text, key, and lang where the row teaches: not held out (crc32 of doc_id mod 4 is 2: held out), not null."""
+    return docs.select(*keep, "text", F.when((_fold("doc_id") != 2) & F.col("text").isNotNull(), F.col("lang")).alias("lang"), F.col("doc_id").alias("key"))
+
 
+def _decided(docs: DataFrame, block_grams: int) -> tuple[DataFrame, Identifier]:
+    """The measured rows of docs (text, lang, key and others), and what decides on them."""
+    found = gather(docs, block_grams)
+    rows = measured(docs, found)
+    decider = Identifier(found.langs, [])
+    calibrated(decider, rows)
+    return rows, decider
 
-def identify(docs: DataFrame) -> DataFrame:
+
+def identify(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, and rejected by the calibrated limit."""
-    held = docs.sparkSession.sparkContext.broadcast(learn_documents(docs))
+    own = F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out")
+    found, decider = _decided(_taught(docs, *own), block_grams)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        names = pa.array([*own.langs, UNKNOWN])
-        for batch in bounded(batches, "text", PIECE_BYTES):
-            best, score, rejected = own.decide(*own.entropies(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), names.take(pa.array(np.where(best < 0, len(own.langs), best))), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+        names = pa.array([*decider.langs, UNKNOWN])
+        for batch in batches:
+            best, score, rejected = decider.decide(*_measures(batch, len(decider.langs)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), names.take(pa.array(np.where(best < 0, len(decider.langs), best))), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out"), "text")
-    return chosen.mapInArrow(rows, RESULT_SCHEMA)
+    return found.mapInArrow(rows, RESULT_SCHEMA)
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(learn_documents(docs))
+    found, decider = _decided(_taught(docs, *[F.expr(x).alias(k) for k, x in TEXT_KEY.items()]), block_grams)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for batch in bounded(batches, "text", PIECE_BYTES):
-            _, _, rejected = own.decide(*own.entropies(batch.column("text")))
-            yield batch.filter(pa.array(~rejected))
-
-    return docs.mapInArrow(rows, docs.schema)
+        for batch in batches:
+            _, _, rejected = decider.decide(*_measures(batch, len(decider.langs)))
+            yield batch.select(list(TEXT_KEY)).filter(pa.array(rejected))
+
+    # Whether a document goes depends on its text alone, so the rejected texts' hashes are enough.
+    gone = stored(found.mapInArrow(rows, "__text_a bigint, __text_b bigint").distinct(), "rejected")
+    side = F.broadcast(gone) if gone.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else gone
+    return docs.withColumns({k: F.expr(x) for k, x in TEXT_KEY.items()}).join(side, list(TEXT_KEY), "left_anti").select(*docs.columns)

@@ -115,3 +115,27 @@ def test_bounded_grams(spark):
     docs = spark.createDataFrame([("a", "abcdefgh " * 50 + "zyx wvu tsr", 1)], "lang string, text string, key bigint")
     fitted = li.learn(docs, max_grams=12)
     assert all(len(o.grams) <= 12 for o in fitted.models[0])
+
+
+def test_every_gram_stays(spark):
+    """More different grams of one order than any fixed number kept before, nearly all of them seen once."""
+    points = np.random.default_rng(7).integers(0x4E00, 0x9FA0, (60, 8000))
+    texts = ["".join(map(chr, row)) for row in points]
+    fitted = li.learn(spark.createDataFrame([("a", t, k) for k, t in enumerate(texts)], "lang string, text string, key bigint").repartition(4))
+    want = len({g for t in texts for g in np.lib.stride_tricks.sliding_window_view(np.r_[[0] * 4, symbols(t)], 5).tolist() for g in [tuple(g)]})
+    assert want > 400_000 and len(fitted.models[0][4].grams) == want
+
+
+def test_blocks_give_what_one_model_gives(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = li._taught(docs, "doc_id")
+    whole, cut = li.gather(rows), li.gather(rows, 20_000)
+    assert len(whole.cuts) == 2 and len(cut.cuts) > 4
+    sizes = [sum(len(o.grams) for m in cut.block(b).models for o in m) for b in range(len(cut.cuts) - 1)]
+    assert max(sizes) < 1.5 * 20_000
+    h = {r.doc_id: r for r in li.measured(rows, whole).collect()}
+    for r in li.measured(rows, cut).collect():
+        assert np.allclose(r.h, h[r.doc_id].h, rtol=0, atol=1e-9) and (r.n, r.letters) == (h[r.doc_id].n, h[r.doc_id].letters)
+    key = lambda r: (r.doc_id, r.lang_pred, round(r.score, 9), r.rejected)
+    assert sorted(map(key, li.identify(docs, 20_000).collect())) == sorted(map(key, li.identify(docs).collect()))
+    assert sorted(r.doc_id for r in li.accepted(docs, 20_000).collect()) == sorted(r.doc_id for r in li.accepted(docs).collect())
