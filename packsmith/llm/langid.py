@@ -8,10 +8,11 @@ BLOCK_GRAMS the grams are cut by their context, read backwards, into blocks of a
 and all that they back off to, so its probabilities are those of the whole model; the texts are read once per block, each adds up the
 grams of its range, and only one block is broadcast at a time.
 
-A text goes to the language with the lowest cross-entropy per symbol. On a bounded sample of learnable documents the score (the
+A text goes to the language with the lowest cross-entropy per symbol. On all learnable documents the score (the
 softmax of scaled cross-entropies) and the rejection are calibrated: a text of at least MIN_SYMBOLS is rejected if its best
-cross-entropy is above what all but a thousandth of that language's calibration documents have, by a quarter and SLACK: those
-documents were learned from, and clean text that was not is a little worse.
+cross-entropy is above what all but a thousandth of that language's documents have (to a 1,024th of a nat), by a quarter and SLACK:
+those documents were learned from, and clean text that was not is a little worse. For a language with fewer than 20 documents of
+MIN_SYMBOLS this is taken over the documents of all languages, where that is more than its own.
 
 Edge cases: text that is null, empty or without a letter is `und`, scored 0 and rejected, as is all text when nothing can be
 learned; ties go to the first language by name; a null doc_id is not learned from and not held out; other columns are ignored.
@@ -26,7 +27,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -39,10 +40,12 @@ PIECE_BYTES = 2 << 20
 #: Grams of all orders and languages in a block, and so in a broadcast.
 BLOCK_GRAMS = 6_000_000
 MAX_LANGUAGES = 1000
-CALIBRATION_ROWS = 20_000
 MIN_SYMBOLS = 20
 #: Nats per symbol by which text that was not learned may be worse, besides a quarter.
 SLACK = 0.75
+#: Bins per nat of the histograms of entropies, and scales of the score that are tried.
+BINS = 1024
+SCALES = [2.0**k for k in range(-6, 3)]
 UNKNOWN = "und"
 TASK_ENTRIES = 1 << 21
 #: Rejected texts up to this number are broadcast.
@@ -232,17 +235,6 @@ class Identifier:
         rejected = ~letters | ((counts >= MIN_SYMBOLS) & (least > self.limits[best]))
         return best, np.where(letters, score, 0.0), rejected
 
-    def calibrate(self, entropies: np.ndarray, counts: np.ndarray, truth: np.ndarray) -> None:
-        """Set the scale of the score by log loss, and each language's limit."""
-        n = np.minimum(counts, 200)[:, None]
-        gaps = entropies - entropies.min(axis=1, keepdims=True)
-        own = np.arange(len(truth))
-        self.scale = min((2.0**k for k in range(-6, 3)), key=lambda s: float(np.mean((gaps * s * n)[own, truth] + np.log(np.exp(-gaps * s * n).sum(axis=1)))))
-        for k in range(len(self.langs)):
-            mine = entropies[(truth == k) & (counts >= MIN_SYMBOLS), k]
-            if len(mine) >= 20:
-                self.limits[k] = 1.25 * np.quantile(mine, 0.999) + SLACK
-
 
 def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> DataFrame:
     """The grams of each language with the largest counts, at most max_grams of them."""
@@ -346,18 +338,39 @@ def _measures(batch: pa.RecordBatch, langs: int) -> tuple[np.ndarray, np.ndarray
     return h.reshape(batch.num_rows, langs), batch.column("n").to_numpy(), batch.column("letters").to_numpy(zero_copy_only=False)
 
 
-def calibrated(fitted: Identifier, rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> None:
-    """Calibrate with a sample of measured rows (lang, key, n, letters, h) that have a language."""
-    rows = rows.where("lang is not null and letters")
-    share = min(1.0, calibration_rows / max(1, rows.count()))
-    found = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("lang", "n", "h").collect()
-    if found:
-        place = {lang: k for k, lang in enumerate(fitted.langs)}
-        fitted.calibrate(np.array([r.h for r in found]), np.array([r.n for r in found]), np.array([place[r.lang] for r in found]))
+def calibrated(fitted: Identifier, rows: DataFrame) -> None:
+    """Calibrate with all measured rows (lang, n, letters, h) that have a language: the score's scale by log loss, and each language's limit."""
+    places = F.create_map(*[F.lit(x) for k, lang in enumerate(fitted.langs) for x in (lang, k)]) if fitted.langs else None
+    if places is None:
+        return
+    rows = rows.where("lang is not null and letters").select(places[F.col("lang")].alias("lang"), "n", "letters", "h")
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n, _ = _measures(batch, len(fitted.langs))
+            gaps = (h - h.min(axis=1, keepdims=True, initial=np.inf)) * np.minimum(n, 200)[:, None]
+            own = np.arange(len(n)), batch.column("lang").to_numpy()
+            sums = [float((gaps[own] * s + np.log(np.exp(-gaps * s).sum(axis=1))).sum()) for s in SCALES]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=[f"s{k}" for k in range(len(SCALES))])
+
+    names = [f"s{k}" for k in range(len(SCALES))]
+    sums = rows.mapInArrow(losses, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    if sums[0] is not None:
+        fitted.scale = min(zip(sums, SCALES, strict=True))[1]
+    # A histogram of fixed bins: the same however the rows are dealt, and bounded.
+    bins = rows.groupBy("lang", (F.col("n") >= MIN_SYMBOLS).alias("long"), F.floor(F.get("h", F.col("lang")) * BINS).alias("bin")).agg(F.count("*").alias("rows"))
+    bins = bins.unionByName(bins.groupBy("long", "bin").agg(F.sum("rows").alias("rows")).withColumn("lang", F.lit(-1)))
+    own = Window.partitionBy("lang", "long")
+    ranked = bins.withColumn("upto", F.sum("rows").over(own.orderBy("bin"))).withColumn("all", F.sum("rows").over(own)).where("1000 * upto >= 999 * all")
+    found = {(r["lang"], r["long"]): (r["all"], (r["bin"] + 1) / BINS) for r in ranked.groupBy("lang", "long").agg(F.min("bin").alias("bin"), F.max("all").alias("all")).collect()}
+    _, pooled = found.get((-1, True)) or found.get((-1, False)) or (0, 0.0)
+    for k in range(len(fitted.langs)):
+        total, quantile = found.get((k, True), (0, 0.0))
+        fitted.limits[k] = 1.25 * (quantile if total >= 20 else max(quantile, pooled)) + SLACK
 
 
 def learn(docs: DataFrame, max_grams: int | None = None) -> Identifier:
-    """Fit one model per language to rows (lang, text, key), in one block, with all grams or the most frequent max_grams of each order."""
+    """Fit one model per language to rows (lang, text), in one block, with all grams or the most frequent max_grams of each order."""
     docs = docs.where("lang is not null and text is not null")
     fitted = gather(docs, sys.maxsize, max_grams).block(0)
     calibrated(fitted, measured(docs, fitted))
@@ -369,12 +382,12 @@ def _fold(id_col: str):
 
 
 def _taught(docs: DataFrame, *keep) -> DataFrame:
-    """The kept columns, text, key, and lang where the row teaches: not held out (crc32 of doc_id mod 4 is 2: held out), not null."""
-    return docs.select(*keep, "text", F.when((_fold("doc_id") != 2) & F.col("text").isNotNull(), F.col("lang")).alias("lang"), F.col("doc_id").alias("key"))
+    """The kept columns, text, and lang where the row teaches: not held out (crc32 of doc_id mod 4 is 2: held out), not null."""
+    return docs.select(*keep, "text", F.when((_fold("doc_id") != 2) & F.col("text").isNotNull(), F.col("lang")).alias("lang"))
 
 
 def _decided(docs: DataFrame, block_grams: int) -> tuple[DataFrame, Identifier]:
-    """The measured rows of docs (text, lang, key and others), and what decides on them."""
+    """The measured rows of docs (text, lang and others), and what decides on them."""
     found = gather(docs, block_grams)
     rows = measured(docs, found)
     decider = Identifier(found.langs, [])

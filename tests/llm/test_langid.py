@@ -139,3 +139,24 @@ def test_blocks_give_what_one_model_gives(spark):
     key = lambda r: (r.doc_id, r.lang_pred, round(r.score, 9), r.rejected)
     assert sorted(map(key, li.identify(docs, 20_000).collect())) == sorted(map(key, li.identify(docs).collect()))
     assert sorted(r.doc_id for r in li.accepted(docs, 20_000).collect()) == sorted(r.doc_id for r in li.accepted(docs).collect())
+
+
+def test_small_languages_reject_too(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    few = docs.where("lang = 'es' and pmod(crc32(cast(doc_id as string)), 4) <> 2").limit(10)
+    odd = spark.createDataFrame([(-1, "中文字符测试没有见过的语言文字内容很多很多中文字符测试"), (-2, "совсем другой язык, которого никто здесь не учил")], "doc_id bigint, text string")
+    rows = docs.where("lang in ('en', 'fr')").unionByName(few).unionByName(odd, allowMissingColumns=True)
+    fitted = li.learn(li._taught(rows, "doc_id"))
+    assert fitted.langs == ["en", "es", "fr"] and np.isfinite(fitted.limits).all()
+    got = {r.doc_id: r for r in li.identify(rows).collect()}
+    assert got[-1].rejected and got[-2].rejected
+    assert sum(r.rejected for r in got.values()) <= 4
+
+
+def test_limits_come_from_all_rows(spark):
+    """The quantile's rows are all that teach: one bad text in a hundred thousand does not count, one in five hundred does."""
+    rows = lambda bad: spark.range(4000).selectExpr("'a' as lang", "100L as n", "true as letters", f"array(if(id % {bad} = 7, 5.0D, 1.0D)) as h", "id as key")
+    for bad, want in ((10_000, 1.0), (500, 5.0)):
+        fitted = li.Identifier(["a"], [])
+        li.calibrated(fitted, rows(bad))
+        assert abs(fitted.limits[0] - (1.25 * want + li.SLACK)) < 0.01
