@@ -272,6 +272,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without those of which a twentieth of the words or more lies inside passages of items."""
-    found = stored(contamination(build_index(docs), items).where("contaminated").select("doc_id"), "contaminated")
-    return without_ids(docs, found.where("doc_id is not null").distinct())
+    """The documents without those of which a twentieth of the words or more lies inside passages of items.
+
+    This depends on the text alone, so rows go by their text's hash, whatever ids they have, null and repeated ones too.
+    """
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    found = stored(contamination(build_index(keyed, "__text"), items).where("contaminated").select(F.col("doc_id").alias("__text")), "contaminated")
+    return without_ids(keyed, found.distinct(), "__text").select(*docs.columns)
