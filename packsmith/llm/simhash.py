@@ -181,14 +181,14 @@ def link_forest(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp) -> the same with component_id, the smallest doc_id reachable over links."""
+    """(doc_id, text_key, fp) -> the same with root, the smallest fingerprint reachable over links, and component_id, the smallest doc_id there."""
     reps = stored(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = connected_components(stored(link_forest(reps), "links"))
     # Only linked fingerprints need a second look; all others are their own component.
     rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return table.join(classes, table["fp"] == classes["class_fp"], "left").select("doc_id", "text_key", "fp", "component_id")
+    classes = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
+    return table.join(classes, table["fp"] == classes["class_fp"], "left").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -200,8 +200,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, but of each component only the one with the smallest id (and, for equal ids, one of them)."""
     found = near_duplicates(fingerprint_table(docs, id_col, text_col))
-    # Components are told apart by their fingerprint class; null ids come last.
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    # Components are told apart by their root, as ids may be repeated or null; null ids come last.
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
     keep = stored(first.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_key").alias("keep_key")), "keep")
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
     joined = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("keep_id")) & (keyed["__key"] == F.col("keep_key")), "left_semi")
