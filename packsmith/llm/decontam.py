@@ -26,11 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packsmith.llm.arrays import ALNUM, LOWER, bounded, per_row, ragged, runs, span_hashes, text_bytes
-from packsmith.session import stored, without_ids
-
-INDEX_SCHEMA = "segment string, doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, postings binary"
-PARTIAL_SCHEMA = "segment string, row int, doc_id bigint, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>"
-RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+from packsmith.llm.texts import text_key, without_texts
+from packsmith.session import stored
+
+# Schemas, but for the type of the ids: bigint, or binary where rows go by a key of their text.
+INDEX_SCHEMA = "segment string, doc_ids array<{}>, n_words array<int>, terms binary, counts binary, postings binary"
+PARTIAL_SCHEMA = "segment string, row int, doc_id {}, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>"
+RESULT_SCHEMA = "doc_id {}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+ID_TYPES = {"bigint": pa.int64(), "binary": pa.binary()}
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
 SEGMENT_BYTES = 4 << 20
@@ -45,8 +48,8 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(LOWER[data], starts, ends), per_row(starts, offsets)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())])
+def _segments(batches: Iterator[pa.RecordBatch], id_type: str) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(ID_TYPES[id_type])), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())])
     for batch in bounded(batches, "text", SEGMENT_BYTES):
         hashes, n_words = words(batch.column("text"))
         order = np.argsort(hashes, kind="stable")
@@ -59,10 +62,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """The positional index of all words of docs, stored in the shared folder."""
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(docs.mapInArrow(_segments, INDEX_SCHEMA), "postings")
+    docs = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
+    return stored(docs.mapInArrow(lambda batches: _segments(batches, id_type), INDEX_SCHEMA.format(id_type)), "postings")
 
 
 class Segment:
@@ -193,8 +196,8 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _result(doc_ids: list, n_words: list, n_hit: list, items: list[set[str]]) -> pa.RecordBatch:
-    columns = [pa.array(doc_ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items]), pa.array([h > 0 and 20 * h >= w for h, w in zip(n_hit, n_words, strict=True)], pa.bool_())]
+def _result(id_type: str, doc_ids: list, n_words: list, n_hit: list, items: list[set[str]]) -> pa.RecordBatch:
+    columns = [pa.array(doc_ids, ID_TYPES[id_type]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items]), pa.array([h > 0 and 20 * h >= w for h, w in zip(n_hit, n_words, strict=True)], pa.bool_())]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
@@ -213,7 +216,7 @@ def _hits(flags: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
 
 def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: words, words inside an occurrence of a window of items, the items and whether a twentieth is hit."""
-    spark = index.sparkSession
+    spark, id_type = index.sparkSession, index.schema["doc_ids"].dataType.elementType.simpleString()
     blocks = query_blocks(items, window, block_words)
     first, second = next(blocks, {}), next(blocks, None)
     if second is None:
@@ -222,24 +225,24 @@ def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, bloc
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, doc_ids, n_words, segment in _segment_rows(batches):
                 flags, row_ends, found = _matches(segment, held.value)
-                yield _result(doc_ids, n_words.tolist(), _hits(flags, row_ends).tolist(), found)
+                yield _result(id_type, doc_ids, n_words.tolist(), _hits(flags, row_ends).tolist(), found)
 
-        return index.mapInArrow(whole, RESULT_SCHEMA)
+        return index.mapInArrow(whole, RESULT_SCHEMA.format(id_type))
     partials = []
     for block in [first, second]:
-        partials.append(_partial(spark, index, block))
+        partials.append(_partial(spark, index, block, id_type))
     for block in blocks:
-        partials.append(_partial(spark, index, block))
+        partials.append(_partial(spark, index, block, id_type))
     parts = partials[0]
     for p in partials[1:]:
         parts = parts.unionByName(p)
     merged = parts.groupBy("segment", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_from")).alias("hit_from"), F.flatten(F.collect_list("hit_to")).alias("hit_to"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
-    return merged.mapInArrow(_merge, RESULT_SCHEMA)
+    return merged.mapInArrow(lambda batches: _merge(batches, id_type), RESULT_SCHEMA.format(id_type))
 
 
-def _partial(spark: SparkSession, index: DataFrame, block: dict) -> DataFrame:
+def _partial(spark: SparkSession, index: DataFrame, block: dict, id_type: str) -> DataFrame:
     """One block's hits, stored, so that its broadcast can go before the next block comes."""
     held = spark.sparkContext.broadcast(block)
 
@@ -251,16 +254,16 @@ def _partial(spark: SparkSession, index: DataFrame, block: dict) -> DataFrame:
                 own = np.diff(np.r_[0, flags[end - n_words[row] : end].astype(np.int8), 0])
                 spans.append((np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(doc_ids)), pa.array(range(len(doc_ids)), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array([a for a, _ in spans], pa.list_(pa.int32())), pa.array([b for _, b in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
+                [pa.array([name] * len(doc_ids)), pa.array(range(len(doc_ids)), pa.int32()), pa.array(doc_ids, ID_TYPES[id_type]), pa.array(n_words, pa.int64()), pa.array([a for a, _ in spans], pa.list_(pa.int32())), pa.array([b for _, b in spans], pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
                 names=["segment", "row", "doc_id", "n_words", "hit_from", "hit_to", "items"],
             )
 
-    out = stored(index.mapInArrow(part, PARTIAL_SCHEMA), "hits")
+    out = stored(index.mapInArrow(part, PARTIAL_SCHEMA.format(id_type)), "hits")
     held.destroy()
     return out
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], id_type: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits = []
         for n, begin, end in zip(*(batch.column(x).to_pylist() for x in ("n_words", "hit_from", "hit_to")), strict=True):
@@ -268,14 +271,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(cover, np.array(begin, np.int64), 1)
             np.add.at(cover, np.array(end, np.int64), -1)
             hits.append(int((np.cumsum(cover)[:n] > 0).sum()))
-        yield _result(batch.column("doc_id").to_pylist(), batch.column("n_words").to_pylist(), hits, [set(x) for x in batch.column("items").to_pylist()])
+        yield _result(id_type, batch.column("doc_id").to_pylist(), batch.column("n_words").to_pylist(), hits, [set(x) for x in batch.column("items").to_pylist()])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without those of which a twentieth of the words or more lies inside passages of items.
+    """The documents in which no window of items occurs: one occurrence is a leak, however long the document is.
 
-    This depends on the text alone, so rows go by their text's hash, whatever ids they have, null and repeated ones too.
+    This depends on the text alone, so rows go by their text's key, whatever ids they have, null and repeated ones too.
     """
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    found = stored(contamination(build_index(keyed, "__text"), items).where("contaminated").select(F.col("doc_id").alias("__text")), "contaminated")
-    return without_ids(keyed, found.distinct(), "__text").select(*docs.columns)
+    keyed = docs.select(text_key().alias("doc_id"), "text")
+    found = contamination(build_index(keyed, id_type="binary"), items).where("n_hit > 0").select("doc_id")
+    return without_texts(docs, stored(found.distinct(), "leaks"))

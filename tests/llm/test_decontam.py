@@ -96,3 +96,14 @@ def test_proximity(spark):
     at = segment.proximity(terms("alpha beta gamma"), 5)
     assert sorted({r.doc_ids[k] for k in segment.row_of(at)}) == [0, 3]
     assert len(segment.proximity(terms("alpha missing"), 3)) == 0
+
+
+def test_decontaminate_goes_by_row(spark):
+    """Any occurrence is a leak; null and repeated ids, a long clean rest and columns with names used inside change nothing."""
+    leak, clean = "one two three four five six seven eight nine ten eleven twelve thirteen", "clean text with nothing"
+    rows = [(None, leak, 1), (None, clean, 2), (5, leak, 3), (5, clean, 4), (6, leak + " x" * 5000, 5), (7, None, 6), (8, "", 7), (5, clean, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __id int").withColumns({"__key": dc.F.lit(1), "__gone": dc.F.lit(2)})
+    bench = spark.createDataFrame([(1, leak)], "item_id bigint, text string")
+    got = dc.decontaminate(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(r["__id"] for r in got.collect()) == [2, 4, 6, 7, 8]
