@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies inside passages of the benchmark."""
+    """Documents that hold no window of the benchmark."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
