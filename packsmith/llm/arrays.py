@@ -104,7 +104,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of prefix sums, so that overlapping spans cost nothing more."""
+    """64-bit hashes of byte spans: differences of prefix sums, so that overlapping spans cost nothing more.
+
+    Different spans with equal hashes can be made on purpose, so equal hashes only propose equal spans: see grouped_spans.
+    """
     n = len(data)
     if not len(starts):
         return np.zeros(0, U64)
@@ -115,6 +118,75 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+#: Masks of the first 0 to 8 of eight bytes, little-endian.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Spans are compared by steps of eight bytes up to this length, and beyond it one by one.
+_STEPPED = 64
+
+
+def _windows(data: np.ndarray, spare: bool = False) -> np.ndarray:
+    """The eight bytes from each place of data, as numbers; spare: data has eight more bytes than are used."""
+    padded = data if spare else np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray, spare: bool = False) -> np.ndarray:
+    """Whether the span of each size in a is the one in b, byte by byte; spare: b has eight more bytes than are used."""
+    out = np.ones(len(sizes), bool)
+    left = _windows(a)
+    right = left if b is a else _windows(b, spare)
+    open_ = np.flatnonzero(sizes)
+    for at in range(0, _STEPPED, 8):
+        if not len(open_):
+            return out
+        mask = _FIRST[np.minimum(sizes[open_] - at, 8)]
+        same = ((left[a_starts[open_] + at] ^ right[b_starts[open_] + at]) & mask) == 0
+        out[open_[~same]] = False
+        open_ = open_[same & (sizes[open_] > at + 8)]
+    for k in open_.tolist():
+        out[k] = a[a_starts[k] : a_starts[k] + sizes[k]].tobytes() == b[b_starts[k] : b_starts[k] + sizes[k]].tobytes()
+    return out
+
+
+def grouped_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in groups of equal bytes: their places group by group, ascending in each; where each group begins; and its hash."""
+    hashes = span_hashes(data, starts, ends)
+    order, sizes = np.argsort(hashes, kind="stable"), ends - starts
+    ranked = hashes[order]
+    begins = np.r_[True, ranked[1:] != ranked[:-1]][: len(order)]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return order, first, ranked
+    head = np.repeat(order[first], np.diff(np.r_[first, len(order)]))
+    same = sizes[order] == sizes[head]
+    own = np.flatnonzero(same & (head != order))
+    same[own] = equal_spans(data, starts[order[own]], data, starts[head[own]], sizes[order[own]])
+    if not same.all():
+        # Different spans of one hash: their group is put in the order of the bytes and cut where these change.
+        for g in np.unique(np.searchsorted(first, np.flatnonzero(~same), side="right") - 1).tolist():
+            a, b = first[g], first[g + 1] if g + 1 < len(first) else len(order)
+            mixed_up = sorted((data[starts[k] : ends[k]].tobytes(), k) for k in order[a:b].tolist())
+            order[a:b] = [k for _, k in mixed_up]
+            begins[a + 1 : b] = [x[0] != y[0] for x, y in zip(mixed_up, mixed_up[1:])]
+        first = np.flatnonzero(begins)
+    return order, first, ranked[first]
+
+
+def pair_places(high: np.ndarray, low: np.ndarray, wanted_high: np.ndarray, wanted_low: np.ndarray) -> np.ndarray:
+    """The place of each wanted 128-bit number among sorted ones, given as halves; -1 if it isn't there."""
+    out = np.full(len(wanted_high), -1)
+    at, open_ = np.searchsorted(high, wanted_high), np.arange(len(wanted_high))
+    while len(open_):
+        inside = at < len(high)
+        at, open_ = at[inside], open_[inside]
+        equal = high[at] == wanted_high[open_]
+        at, open_ = at[equal], open_[equal]
+        hit = low[at] == wanted_low[open_]
+        out[open_[hit]] = at[hit]
+        at, open_ = at[~hit] + 1, open_[~hit]
+    return out
+
+
 def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups of values, of the given sizes; an empty group has 0."""
     sums = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)

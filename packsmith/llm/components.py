@@ -2,8 +2,11 @@
 
 Edges are pairs of long node ids. Every round maps each edge to the smallest neighbour, first among all neighbours (large star),
 then among the smaller ones (small star), until nothing changes; the number of rounds grows with the logarithm of the size of
-the largest component. Each round's edges are written to the shared folder, which also survives lost executors. The joins are
-plain equi-joins, so that Spark can split those of a node with very many edges.
+the largest component. Each round's edges are written to the shared folder, which also survives lost executors. The edges of a node are
+dealt by node and salt, so that one with very many of them is spread: its minimum is taken of its salts' minima and returned to them.
+
+Edge cases: an empty table has no components; repeated edges, loops and both directions of an edge change nothing; a null in an
+edge matches nothing, so such an edge is ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 
 from packsmith.session import stored
 
+#: Parts into which the edges of one node are dealt.
+SALTS = 16
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edges (a, b) as stars around each component's smallest node: (node, smallest), without the smallest itself."""
@@ -42,8 +48,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-    joined = both.join(least, both["a"] == least["c"])
+    both = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    salted = both.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = salted.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+    placed = salted.select("a", "s").join(least, F.col("a") == F.col("c")).select("c", F.col("s").alias("t"), "m")
+    joined = both.join(placed, (F.col("a") == F.col("c")) & (F.col("s") == F.col("t")))
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -3,15 +3,19 @@
 The index is partitioned by document, as search engines do: every segment covers some whole documents and keeps, for each
 term, the sorted positions at which it occurs. It is written to the shared folder once and holds every word of every
 document, so further test sets need no second pass over the texts. A phrase is looked up by taking the list of its rarest
-term, shifting it by the term's offset, and intersecting it with the shifted lists of the other terms, rarest first.
+term, shifting it by the term's offset, and intersecting it with the shifted lists of the other terms, rarest first. For
+proximity the lists of an item's terms are intersected, rarest first, within a reach of some words.
+
+A term is the 128-bit BLAKE2b digest of a word, as two numbers: no two different words are known to share one, whereas the fast hash by
+which words are grouped is only trusted after their bytes were compared.
 
 The test set is the query side. It is read in blocks of a fixed number of words; one block is broadcast at a time, and its
 size is thus bounded whatever the test set has. Documents never leave their segment, so a passage that a third of
 all documents share costs no more than any other text of its length.
 
-Edge cases: a null or empty text has no words, hence n_words = 0 and no hits; a null doc_id is kept as null; repeated rows are
-reported row by row; an empty test set marks nothing; items that share an id are one item, and those with a null id one with an empty
-name; other columns of the inputs are ignored.
+Edge cases: a null or empty text has no words, hence n_words = 0, no hits, and stays when documents are dropped; a null doc_id is
+kept as null; repeated rows are reported row by row; an empty test set marks nothing; items that share an id are one item, and those
+with a null id one with an empty name; other columns of the inputs are ignored, whatever their names, and kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -19,19 +23,21 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsmith.llm.arrays import ALNUM, LOWER, bounded, per_row, ragged, runs, span_hashes, text_bytes
+from packsmith.llm.arrays import ALNUM, LOWER, U64, bounded, grouped_spans, pair_places, per_row, ragged, runs, text_bytes
 from packsmith.llm.texts import text_key, without_texts
 from packsmith.session import stored
 
 # Schemas, but for the type of the ids: bigint, or binary where rows go by a key of their text.
 INDEX_SCHEMA = "segment string, doc_ids array<{}>, n_words array<int>, terms binary, counts binary, postings binary"
 PARTIAL_SCHEMA = "segment string, row int, doc_id {}, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>"
+PROXIMITY_SCHEMA = "doc_id {}, item_id string, position bigint, width bigint"
 RESULT_SCHEMA = "doc_id {}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 ID_TYPES = {"bigint": pa.int64(), "binary": pa.binary()}
 WINDOW = 13
@@ -41,24 +47,36 @@ SEGMENT_BYTES = 4 << 20
 CHUNK = 1 << 20
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows in order, and the number of words of each row."""
+def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the rows as terms (see above) in ascending order, how often each occurs, the places of its words
+    term by term, and the number of words of each row."""
     data, offsets = text_bytes(column)
     starts, ends = runs(data, offsets, ALNUM)
-    return span_hashes(LOWER[data], starts, ends), per_row(starts, offsets)
+    data = LOWER[data]
+    order, first, _ = grouped_spans(data, starts, ends)
+    heads, raw, digest = order[first], data.tobytes(), hashlib.blake2b
+    digests = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)])
+    terms = np.frombuffer(digests, ">u8").astype(U64).reshape(-1, 2)
+    rank, counts = np.lexsort((terms[:, 1], terms[:, 0])), np.diff(np.r_[first, len(order)])
+    return terms[rank], counts[rank], order[ragged(first[rank], counts[rank])], per_row(starts, offsets)
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all words of the rows in order (see above), and the number of words of each row."""
+    terms, counts, places, n_words = _terms(column)
+    out = np.empty((len(places), 2), U64)
+    out[places] = np.repeat(terms, counts, axis=0)
+    return out, n_words
 
 
 def _segments(batches: Iterator[pa.RecordBatch], id_type: str) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(ID_TYPES[id_type])), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())])
     for batch in bounded(batches, "text", SEGMENT_BYTES):
-        hashes, n_words = words(batch.column("text"))
-        order = np.argsort(hashes, kind="stable")
-        by_term = hashes[order]
-        first = np.flatnonzero(np.r_[True, by_term[1:] != by_term[:-1]][: len(by_term)])
-        counts = np.diff(np.r_[first, len(by_term)]).astype(np.uint32)
-        gaps = np.diff(order, prepend=0)
-        gaps[first] = order[first]
-        row = [uuid.uuid4().hex, batch.column("doc_id").to_pylist(), n_words.tolist(), by_term[first].tobytes(), counts.tobytes(), gaps.astype(np.uint32).tobytes()]
+        terms, counts, places, n_words = _terms(batch.column("text"))
+        first = np.cumsum(counts) - counts
+        gaps = np.diff(places, prepend=0)
+        gaps[first] = places[first]
+        row = [uuid.uuid4().hex, batch.column("doc_id").to_pylist(), n_words.tolist(), terms.tobytes(), counts.astype(np.uint32).tobytes(), gaps.astype(np.uint32).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
@@ -72,7 +90,7 @@ class Segment:
     """One row of the index, decoded for queries."""
 
     def __init__(self, terms: bytes, counts: bytes, postings: bytes, n_words: np.ndarray) -> None:
-        self.terms, self.counts = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)
+        self.terms, self.counts = np.frombuffer(terms, U64).reshape(-1, 2), np.frombuffer(counts, np.uint32).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
         gaps = np.frombuffer(postings, np.uint32).astype(np.int64)
         sums = np.cumsum(gaps)
@@ -86,10 +104,7 @@ class Segment:
 
     def lookup(self, terms: np.ndarray) -> np.ndarray:
         """The place of each term in this segment, -1 if it has none."""
-        if not len(self.terms):
-            return np.full(len(terms), -1)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, -1)
+        return pair_places(self.terms[:, 0], self.terms[:, 1], terms[:, 0], terms[:, 1])
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         keys = term * max(1, self.n) + position
@@ -127,20 +142,23 @@ class Segment:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def proximity(self, terms: np.ndarray, reach: int) -> np.ndarray:
-        """Positions of the rarest term around which every other term occurs, in the same document, within reach words."""
-        places = self.lookup(terms)
-        if (places < 0).any() or not len(places):
-            return np.zeros(0, np.int64)
-        places = places[np.argsort(self.counts[places], kind="stable")]
-        at = self.positions[self.first[places[0]] : self.first[places[0]] + self.counts[places[0]]]
-        for p in places[1:]:
-            own = self.positions[self.first[p] : self.first[p] + self.counts[p]]
-            row = self.row_of(at)
-            low = np.maximum(at - reach, np.r_[0, self.row_ends][row])
-            high = np.minimum(at + reach + 1, self.row_ends[row])
-            at = at[np.searchsorted(own, high) > np.searchsorted(own, low)]
-        return at
+    def stretches(self, places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last position of the shortest stretches of at most reach words, inside one document, that begin with one of
+        the terms and have all of them; places: those of distinct terms."""
+        none = np.zeros(0, np.int64)
+        if not len(places) or (places < 0).any():
+            return none, none
+        lists = [self.positions[self.first[p] : self.first[p] + self.counts[p]] for p in places[np.argsort(self.counts[places], kind="stable")]]
+        begin = np.sort(np.concatenate(lists))
+        end = begin
+        for own in lists:  # the rarest term leaves the fewest beginnings
+            at = np.searchsorted(own, begin)
+            keep = at < len(own)
+            begin, end, found = begin[keep], end[keep], own[at[keep]]
+            keep = found < begin + reach
+            begin, end = begin[keep], np.maximum(end[keep], found[keep])
+        keep = self.row_of(begin) == self.row_of(end)
+        return begin[keep], end[keep]
 
 
 def query_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[dict]:
@@ -165,14 +183,18 @@ def _block(rows: list[tuple[str | None, np.ndarray]], window: int) -> dict:
     by_width: dict[int, list] = {}
     for item, own in rows:
         width = min(window, len(own))
-        by_width.setdefault(width, []).append((item, np.lib.stride_tricks.sliding_window_view(own, width)))
+        by_width.setdefault(width, []).append((item, own))
     out = {}
     for width, parts in by_width.items():
-        grams, back = np.unique(np.concatenate([g for _, g in parts]), axis=0, return_inverse=True)
+        terms, own = np.unique(np.concatenate([w for _, w in parts]), axis=0, return_inverse=True)
+        sizes = np.array([len(w) for _, w in parts])
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        grams = np.lib.stride_tricks.sliding_window_view(own.ravel(), width)
+        inside = owner[: len(grams)] == owner[width - 1 :]
+        grams, back = np.unique(grams[inside], axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([back.ravel(), owner[: len(inside)][inside]], axis=1), axis=0)
         names = [item or "" for item, _ in parts]
-        pairs = np.unique(np.stack([back.ravel(), np.repeat(np.arange(len(parts)), [len(g) for _, g in parts])], axis=1), axis=0)
-        terms, grams = np.unique(grams, return_inverse=True)
-        out[width] = (terms, grams.reshape(-1, width), np.searchsorted(pairs[:, 0], np.arange(pairs[-1, 0] + 2)), pairs[:, 1], names)
+        out[width] = (terms, grams, np.searchsorted(pairs[:, 0], np.arange(pairs[-1, 0] + 2)), pairs[:, 1], names)
     return out
 
 
@@ -242,6 +264,50 @@ def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, bloc
     return merged.mapInArrow(lambda batches: _merge(batches, id_type), RESULT_SCHEMA.format(id_type))
 
 
+def proximity(index: DataFrame, items: DataFrame, reach: int, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, position, width): for each document and item the shortest stretch, of at most reach words, that has every
+    word of the item in any order; the first one of equals. position counts the document's words from 0.
+
+    Items are read in blocks as for phrases. An item without words matches nothing; a null item_id is kept; rows of documents with one id
+    are reported each.
+    """
+    spark, id_type = index.sparkSession, index.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = PROXIMITY_SCHEMA.format(id_type)
+
+    def part(block: list[tuple[str | None, np.ndarray]]) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, doc_ids, _, segment in _segment_rows(batches):
+                found = []
+                for item, terms in held.value:
+                    begin, end = segment.stretches(segment.lookup(terms), reach)
+                    row, width = segment.row_of(begin), end - begin + 1
+                    best = np.lexsort((begin, width, row))
+                    best = best[np.flatnonzero(np.r_[True, np.diff(row[best]) > 0][: len(best)])]
+                    base = np.r_[0, segment.row_ends][row[best]]
+                    found += [(doc_ids[r], item, p, w) for r, p, w in zip(row[best].tolist(), (begin[best] - base).tolist(), width[best].tolist(), strict=True)]
+                types = ID_TYPES[id_type], pa.string(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "position", "width"])
+
+        out = stored(index.mapInArrow(rows, schema), "near")
+        held.destroy()
+        return out
+
+    parts, block, size = [], [], 0
+    for item, text in items.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
+        terms = np.unique(words(pa.array([text]))[0], axis=0)
+        if len(terms):
+            block.append((item, terms))
+            size += len(terms)
+        if size >= block_words:
+            parts.append(part(block))
+            block, size = [], 0
+    if block or not parts:
+        parts.append(part(block))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _partial(spark: SparkSession, index: DataFrame, block: dict, id_type: str) -> DataFrame:
     """One block's hits, stored, so that its broadcast can go before the next block comes."""
     held = spark.sparkContext.broadcast(block)

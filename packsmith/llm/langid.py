@@ -1,21 +1,25 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
-Texts become symbols: lower-case letters by code point (those above 2,047 share 2,048 classes by a hash), and one symbol for any
-stretch of other characters. Five symbols of 12 bits fill one 60-bit key. The counts of all 5-grams of all learnable
-documents are summed in Spark; orders four to one count the distinct continuations. A model keeps for each order the sorted hashes
-of its grams with their interpolated probabilities, and of its contexts with their back-off weights. Every gram counts: beyond
-BLOCK_GRAMS the grams are cut by their context, read backwards, into blocks of about that many. A block holds the contexts of its range
-and all that they back off to, so its probabilities are those of the whole model; the texts are read once per block, each adds up the
-grams of its range, and only one block is broadcast at a time.
-
-A text goes to the language with the lowest cross-entropy per symbol. On all learnable documents the score (the
-softmax of scaled cross-entropies) and the rejection are calibrated: a text of at least MIN_SYMBOLS is rejected if its best
-cross-entropy is above what all but a thousandth of that language's documents have (to a 1,024th of a nat), by a quarter and SLACK:
-those documents were learned from, and clean text that was not is a little worse. For a language with fewer than 20 documents of
-MIN_SYMBOLS this is taken over the documents of all languages, where that is more than its own.
+Texts become symbols: lower-case letters by code point, those from U+0800 on as two symbols each (the code point's upper and
+lower part), and one symbol for any stretch of other characters; no two letters share symbols. Five symbols of 12 bits fill one
+60-bit key. The counts of all 5-grams of all learnable documents are summed in Spark; orders four to one count the distinct
+continuations. A model keeps for each order the sorted hashes of its grams with their interpolated probabilities, and of its contexts
+with their back-off weights. Every gram counts: beyond BLOCK_GRAMS the grams are cut by their context, read backwards, into blocks of
+about that many. A block holds the contexts of its range and all that they back off to, so its probabilities are those of the whole
+model; the texts are read once per block, each adds up the grams of its range, and only one block is broadcast at a time.
+
+A text goes to the language with the lowest cross-entropy per symbol. The score (the softmax of scaled cross-entropies) and the
+rejection are calibrated on text that was not learned from: of the learnable documents those whose text's hash leaves 0 when divided
+by FOLDS are measured under second models, which are fitted to the grams of all others. A text of at least MIN_SYMBOLS is rejected if
+its best cross-entropy lies further above what all but a thousandth of that language's left-out documents have (to a 1,024th of a nat)
+than that lies above their median. That thousandth is out of sight of fewer than 999 documents: their largest distance from the median
+then stands for it in the proportion of normal quantiles. For a language with fewer than LEAST left-out documents all this is taken over
+those of all languages, where that is more than its own; where all together are fewer, the limit is a uniform guess among the language's
+own symbols.
 
 Edge cases: text that is null, empty or without a letter is `und`, scored 0 and rejected, as is all text when nothing can be
-learned; ties go to the first language by name; a null doc_id is not learned from and not held out; other columns are ignored.
+learned; ties go to the first language by name; a null doc_id is not learned from and not held out; a language whose documents are
+all left out is learned but takes no part in the calibration; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from packsmith.llm.arrays import U64, bounded, mixed
+from packsmith.llm.texts import text_key, without_texts
 from packsmith.session import stored
 
 ORDER, BITS = 5, 12
@@ -39,47 +45,50 @@ MASKS = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 PIECE_BYTES = 2 << 20
 #: Grams of all orders and languages in a block, and so in a broadcast.
 BLOCK_GRAMS = 6_000_000
-MAX_LANGUAGES = 1000
 MIN_SYMBOLS = 20
-#: Nats per symbol by which text that was not learned may be worse, besides a quarter.
-SLACK = 0.75
+#: One in so many learnable documents is left out of the models that calibrate, and so many of them make a limit of their own.
+FOLDS, LEAST = 8, 20
 #: Bins per nat of the histograms of entropies, and scales of the score that are tried.
 BINS = 1024
 SCALES = [2.0**k for k in range(-6, 3)]
 UNKNOWN = "und"
 TASK_ENTRIES = 1 << 21
-#: Rejected texts up to this number are broadcast.
-BROADCAST_TEXTS = 1_000_000
-#: Two hashes that tell texts apart, of 128 bits together.
-TEXT_KEY = {"__text_a": "xxhash64(text)", "__text_b": "xxhash64(1, text)"}
+#: Letters below WIDE are one symbol. Others have code points below 2**18: an upper part by units of 2**SPLIT, then a lower part.
+WIDE, SPLIT = 2048, 10
+UPPER, LOWER = WIDE, WIDE + (1 << (18 - SPLIT))
 RESULT_SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
 @cache
-def _classes() -> np.ndarray:
-    """The symbol of each code point; 0 for all that are no letters."""
-    out = np.zeros(sys.maxunicode + 1, np.uint16)
-    points = np.array([k for k in range(sys.maxunicode + 1) if chr(k).isalpha()], np.uint32)
-    out[points] = np.where(points < 2048, points, 2048 + (((points * np.uint32(2654435761)) >> np.uint32(16)) & np.uint32(2047)))
-    return out
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(k).isalpha() for k in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after the other, and how many each has; 0 stands for a character that is no letter."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    wide = letter & (points >= WIDE)
+    out = np.repeat(np.where(letter, np.where(wide, UPPER + (points >> SPLIT), points), 0).astype(np.uint16), 1 + wide)
+    ends = np.cumsum(1 + wide)
+    out[ends[wide] - 1] = LOWER + (points[wide] & ((1 << SPLIT) - 1))
+    return out, np.diff(np.r_[0, ends][np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)])
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The 5-gram that ends at each symbol of each row, the number of symbols of each row, and whether it has a letter."""
-    texts = [(t or "").lower() for t in column.to_pylist()]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    symbols = _classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    row = np.repeat(np.arange(len(texts)), sizes)
-    before = np.r_[np.uint16(0), symbols[:-1]][: len(symbols)]
-    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[firsts] = 0
-    keep = (symbols != 0) | (before != 0)
-    symbols, row = symbols[keep], row[keep]
-    counts = np.bincount(row, minlength=len(texts))
-    letters = np.bincount(row[symbols != 0], minlength=len(texts)) > 0
-    padded = np.zeros(len(symbols) + (ORDER - 1) * len(texts), U64)
-    place = np.arange(len(symbols)) + (ORDER - 1) * (row + 1)
-    padded[place] = symbols
+    own, sizes = symbols([(t or "").lower() for t in column.to_pylist()])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    before = np.r_[np.uint16(0), own[:-1]][: len(own)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    keep = (own != 0) | (before != 0)
+    own, row = own[keep], row[keep]
+    counts = np.bincount(row, minlength=len(sizes))
+    letters = np.bincount(row[own != 0], minlength=len(sizes)) > 0
+    padded = np.zeros(len(own) + (ORDER - 1) * len(sizes), U64)
+    place = np.arange(len(own)) + (ORDER - 1) * (row + 1)
+    padded[place] = own
     keys = padded[place]
     for k in range(1, ORDER):
         keys |= padded[place - k] << U64(BITS * k)
@@ -94,34 +103,40 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _left_out() -> Column:
+    """Whether a learnable row is left out of the models that calibrate; by its text, so that copies are not split."""
+    return F.pmod(F.xxhash64(F.lit("left out"), F.col("text")), F.lit(FOLDS)) == 0
+
+
 def count_grams(docs: DataFrame, langs: list[str]) -> DataFrame:
-    """(lang, key, n) over all rows (lang, text): lang as its place in langs."""
+    """(lang, out, key, n) over all rows (lang, text): lang as its place in langs; out: whether the rows are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
+            for part, parts in held.items():
                 keys, n = _merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+                columns = [pa.array(np.full(len(keys), part // 2, np.int32)), pa.array(np.full(len(keys), part % 2, bool)), pa.array(keys.view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "out", "key", "n"])
             held.clear()
 
         for batch in bounded(batches, "text", PIECE_BYTES):
             keys, counts, _ = grams(batch.column("text"))
-            own = np.repeat(batch.column("lang").to_numpy(), counts)
-            for lang in np.unique(own).tolist():
-                mine = np.sort(keys[own == lang])
+            own = np.repeat(batch.column("part").to_numpy(), counts)
+            for part in np.unique(own).tolist():
+                mine = np.sort(keys[own == part])
                 first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-                held.setdefault(lang, []).append((mine[first], np.diff(np.r_[first, len(mine)])))
-                if len(held[lang]) >= 8:
-                    held[lang] = [_merged(held[lang])]
+                held.setdefault(part, []).append((mine[first], np.diff(np.r_[first, len(mine)])))
+                if len(held[part]) >= 8:
+                    held[part] = [_merged(held[part])]
             if sum(len(k) for parts in held.values() for k, _ in parts) >= TASK_ENTRIES:
                 yield from flush()
         yield from flush()
 
     places = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
-    docs = docs.select(places[F.col("lang")].alias("lang"), "text")
-    return docs.mapInArrow(rows, "lang int, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    docs = docs.select((2 * places[F.col("lang")] + _left_out().cast("int")).alias("part"), "text")
+    return docs.mapInArrow(rows, "lang int, out boolean, key bigint, n bigint").groupBy("lang", "out", "key").agg(F.sum("n").alias("n"))
 
 
 #: Contexts read backwards, from the symbol next to the gram's last, are below this.
@@ -236,27 +251,14 @@ class Identifier:
         return best, np.where(letters, score, 0.0), rejected
 
 
-def _bounded_grams(table: DataFrame, langs: int, max_grams: int) -> DataFrame:
-    """The grams of each language with the largest counts, at most max_grams of them."""
-    levels = table.groupBy("lang", F.floor(F.log2("n")).alias("level")).count().collect()
-    least = []
-    for lang in range(langs):
-        total, floor = 0, 0
-        for level, count in sorted(((r["level"], r["count"]) for r in levels if r["lang"] == lang), reverse=True):
-            if total + count > max_grams:
-                floor = level + 1
-                break
-            total += count
-        least.append(1 << floor)
-    return table.where(F.col("n") >= F.element_at(F.array(*[F.lit(x) for x in least]), F.col("lang") + 1))
-
-
 @dataclass
 class Grams:
-    """Stored tables (lang, key, n) of orders 1 to 5, how many grams count once and twice, and where the blocks begin and end."""
+    """Stored tables (lang, key, n) of orders 1 to 5; of each order and language how many grams there are, and how many count once
+    and twice; and where the blocks begin and end."""
 
     langs: list[str]
     tables: list[DataFrame]
+    sizes: list[list[int]]
     singles: list[list[tuple[int, int]]]
     cuts: list[int]
 
@@ -273,16 +275,9 @@ class Grams:
         return Identifier(self.langs, [fit_language([c[k] for c in counts], [s[k] for s in self.singles]) for k in range(len(self.langs))], low, high)
 
 
-def gather(docs: DataFrame, block_grams: int = BLOCK_GRAMS, max_grams: int | None = None) -> Grams:
-    """The grams of rows (lang, text), all of them unless max_grams asks for fewer of each language and order."""
-    docs = docs.where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
-        return Grams([], [], [], [0, ALL_CONTEXTS])
-    tables, singles, total = [stored(count_grams(docs, langs), "grams")], [], 0
+def _orders(highest: DataFrame, langs: list[str], block_grams: int) -> Grams:
+    """The lower orders of a table of 5-grams, and the cuts into blocks."""
+    tables, sizes, singles = [stored(highest, "grams")], [], []
     for k in range(ORDER - 1, 0, -1):
         lower = tables[0].groupBy("lang", F.col("key").bitwiseAND(MASKS[k]).alias("key")).agg(F.count("*").alias("n"))
         tables.insert(0, stored(lower, f"grams{k}"))
@@ -290,15 +285,25 @@ def gather(docs: DataFrame, block_grams: int = BLOCK_GRAMS, max_grams: int | Non
         found = t.groupBy("lang", F.least("n", F.lit(3)).alias("n")).count().collect()
         rare = {(r["lang"], r["n"]): r["count"] for r in found}
         singles.append([(rare.get((k, 1), 0), rare.get((k, 2), 0)) for k in range(len(langs))])
-        total += sum(rare.values())
-    if max_grams is not None:
-        return Grams(langs, [_bounded_grams(t, len(langs), max_grams) for t in tables], singles, [0, ALL_CONTEXTS])
-    cuts, blocks = [], -(-total // block_grams)
+        sizes.append([sum(rare.get((k, n), 0) for n in (1, 2, 3)) for k in range(len(langs))])
+    cuts, blocks = [], -(-sum(map(sum, sizes)) // block_grams)
     if blocks > 1:
         places = [t.select(_backwards(k).alias("at")) for k, t in enumerate(tables, 1)]
         shares = [k / blocks for k in range(1, blocks)]
         cuts = reduce(DataFrame.unionAll, places).agg(F.percentile_approx("at", shares, max(10_000, 20 * blocks))).first()[0]
-    return Grams(langs, tables, singles, sorted({0, *cuts, ALL_CONTEXTS}))
+    return Grams(langs, tables, sizes, singles, sorted({0, *cuts, ALL_CONTEXTS}))
+
+
+def gather(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> tuple[Grams, Grams]:
+    """The grams of rows (lang, text): of all of them, and of those that are not left out for calibration."""
+    docs = docs.where("lang is not null and text is not null")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    if not langs:
+        none = Grams([], [], [], [], [0, ALL_CONTEXTS])
+        return none, none
+    counted = stored(count_grams(docs, langs), "counted")
+    whole = counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return tuple(_orders(t, langs, block_grams) for t in (whole, counted.where("not out").select("lang", "key", "n")))
 
 
 def measured(docs: DataFrame, found: Grams | Identifier) -> DataFrame:
@@ -325,12 +330,12 @@ def measured(docs: DataFrame, found: Grams | Identifier) -> DataFrame:
     if blocks == 1:
         return pass_over(docs, found if isinstance(found, Identifier) else found.block(0), "entropies")
     # What is measured depends on the text alone, so the blocks' shares meet by its hash and no text is moved.
-    keyed = docs.withColumns({k: F.expr(x) for k, x in TEXT_KEY.items()})
-    shares = [pass_over(keyed.select(*TEXT_KEY, "text"), found.block(b), "shares").dropDuplicates(list(TEXT_KEY)) for b in range(blocks)]
+    keyed = docs.withColumn("__key", F.coalesce(text_key(), F.lit(bytearray())))
+    shares = [pass_over(keyed.select("__key", "text"), found.block(b), "shares").dropDuplicates(["__key"]) for b in range(blocks)]
     sums = [F.sum(F.col("h")[k]).alias(f"h{k}") for k in range(len(found.langs))]
-    whole = reduce(DataFrame.unionAll, shares).groupBy(*TEXT_KEY).agg(F.first("n").alias("n"), F.first("letters").alias("letters"), *sums)
-    whole = whole.select(*TEXT_KEY, "n", "letters", F.array(*[f"h{k}" for k in range(len(found.langs))]).alias("h"))
-    return stored(keyed.drop("text").join(whole, list(TEXT_KEY)).select(*[f.name for f in keep], "n", "letters", "h"), "entropies")
+    whole = reduce(DataFrame.unionAll, shares).groupBy("__key").agg(F.first("n").alias("n"), F.first("letters").alias("letters"), *sums)
+    whole = whole.select("__key", "n", "letters", F.array(*[f"h{k}" for k in range(len(found.langs))]).alias("h"))
+    return stored(keyed.drop("text").join(whole, "__key").select(*[f.name for f in keep], "n", "letters", "h"), "entropies")
 
 
 def _measures(batch: pa.RecordBatch, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,8 +343,15 @@ def _measures(batch: pa.RecordBatch, langs: int) -> tuple[np.ndarray, np.ndarray
     return h.reshape(batch.num_rows, langs), batch.column("n").to_numpy(), batch.column("letters").to_numpy(zero_copy_only=False)
 
 
-def calibrated(fitted: Identifier, rows: DataFrame) -> None:
-    """Calibrate with all measured rows (lang, n, letters, h) that have a language: the score's scale by log loss, and each language's limit."""
+def _stretch(n: int) -> float:
+    """How much further the thousandth lies from the median than the largest of n, for normal quantiles."""
+    z = NormalDist().inv_cdf
+    return z(0.999) / z(min(0.999, max(2, n) / (max(2, n) + 1)))
+
+
+def calibrated(fitted: Identifier, rows: DataFrame, alphabets: list[int]) -> None:
+    """Calibrate with all measured rows (lang, n, letters, h) that have a language: the score's scale by log loss, and each language's
+    limit. alphabets: how many symbols each language has."""
     places = F.create_map(*[F.lit(x) for k, lang in enumerate(fitted.langs) for x in (lang, k)]) if fitted.langs else None
     if places is None:
         return
@@ -358,22 +370,32 @@ def calibrated(fitted: Identifier, rows: DataFrame) -> None:
     if sums[0] is not None:
         fitted.scale = min(zip(sums, SCALES, strict=True))[1]
     # A histogram of fixed bins: the same however the rows are dealt, and bounded.
-    bins = rows.groupBy("lang", (F.col("n") >= MIN_SYMBOLS).alias("long"), F.floor(F.get("h", F.col("lang")) * BINS).alias("bin")).agg(F.count("*").alias("rows"))
-    bins = bins.unionByName(bins.groupBy("long", "bin").agg(F.sum("rows").alias("rows")).withColumn("lang", F.lit(-1)))
-    own = Window.partitionBy("lang", "long")
-    ranked = bins.withColumn("upto", F.sum("rows").over(own.orderBy("bin"))).withColumn("all", F.sum("rows").over(own)).where("1000 * upto >= 999 * all")
-    found = {(r["lang"], r["long"]): (r["all"], (r["bin"] + 1) / BINS) for r in ranked.groupBy("lang", "long").agg(F.min("bin").alias("bin"), F.max("all").alias("all")).collect()}
-    _, pooled = found.get((-1, True)) or found.get((-1, False)) or (0, 0.0)
+    bins = rows.where(F.col("n") >= MIN_SYMBOLS).groupBy("lang", F.floor(F.get("h", F.col("lang")) * BINS).alias("bin")).agg(F.count("*").alias("rows"))
+    bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("rows").alias("rows")).withColumn("lang", F.lit(-1)))
+    own = Window.partitionBy("lang")
+    ranked = bins.withColumn("upto", F.sum("rows").over(own.orderBy("bin"))).withColumn("all", F.sum("rows").over(own))
+    at = [F.min(F.when(share * F.col("upto") >= (share - 1) * F.col("all"), F.col("bin") + 1)) for share in (2, 1000)]
+    seen = ranked.groupBy("lang").agg(F.max("all").alias("all"), at[0].alias("middle"), at[1].alias("most")).collect()
+    found = {r["lang"]: (r["all"], (r["middle"] + 2 * _stretch(r["all"]) * (r["most"] - r["middle"])) / BINS) for r in seen}
+    together, pooled = found.get(-1, (0, 0.0))
     for k in range(len(fitted.langs)):
-        total, quantile = found.get((k, True), (0, 0.0))
-        fitted.limits[k] = 1.25 * (quantile if total >= 20 else max(quantile, pooled)) + SLACK
+        total, limit = found.get(k, (0, 0.0))
+        guess = float(np.log(max(2, alphabets[k])))
+        fitted.limits[k] = limit if total >= LEAST else max(limit, pooled) if together >= LEAST else guess
 
 
-def learn(docs: DataFrame, max_grams: int | None = None) -> Identifier:
-    """Fit one model per language to rows (lang, text), in one block, with all grams or the most frequent max_grams of each order."""
-    docs = docs.where("lang is not null and text is not null")
-    fitted = gather(docs, sys.maxsize, max_grams).block(0)
-    calibrated(fitted, measured(docs, fitted))
+def _calibrate(fitted: Identifier, docs: DataFrame, whole: Grams, rest: Grams) -> None:
+    """Calibrate with the rows (lang, text) that are left out, measured under the models of the rest."""
+    known = [lang for k, lang in enumerate(rest.langs) if rest.sizes[-1][k]]
+    rows = docs.select("lang", "text").where(F.col("lang").isin(known) & F.col("text").isNotNull() & _left_out())
+    calibrated(fitted, measured(rows, rest), whole.sizes[0] if whole.sizes else [])
+
+
+def learn(docs: DataFrame) -> Identifier:
+    """Fit one model per language to rows (lang, text), in one block, and calibrate."""
+    whole, rest = gather(docs, sys.maxsize)
+    fitted = whole.block(0)
+    _calibrate(fitted, docs, whole, rest)
     return fitted
 
 
@@ -388,11 +410,10 @@ def _taught(docs: DataFrame, *keep) -> DataFrame:
 
 def _decided(docs: DataFrame, block_grams: int) -> tuple[DataFrame, Identifier]:
     """The measured rows of docs (text, lang and others), and what decides on them."""
-    found = gather(docs, block_grams)
-    rows = measured(docs, found)
-    decider = Identifier(found.langs, [])
-    calibrated(decider, rows)
-    return rows, decider
+    whole, rest = gather(docs, block_grams)
+    decider = Identifier(whole.langs, [])
+    _calibrate(decider, docs, whole, rest)
+    return measured(docs, whole), decider
 
 
 def identify(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -411,14 +432,13 @@ def identify(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
 
 def accepted(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
-    found, decider = _decided(_taught(docs, *[F.expr(x).alias(k) for k, x in TEXT_KEY.items()]), block_grams)
+    found, decider = _decided(_taught(docs, F.coalesce(text_key(), F.lit(bytearray())).alias("key")), block_grams)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, rejected = decider.decide(*_measures(batch, len(decider.langs)))
-            yield batch.select(list(TEXT_KEY)).filter(pa.array(rejected))
+            yield batch.select(["key"]).filter(pa.array(rejected))
 
-    # Whether a document goes depends on its text alone, so the rejected texts' hashes are enough.
-    gone = stored(found.mapInArrow(rows, "__text_a bigint, __text_b bigint").distinct(), "rejected")
-    side = F.broadcast(gone) if gone.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else gone
-    return docs.withColumns({k: F.expr(x) for k, x in TEXT_KEY.items()}).join(side, list(TEXT_KEY), "left_anti").select(*docs.columns)
+    # Whether a document goes depends on its text alone, so the rejected texts' keys are enough; a null text has no letter.
+    gone = stored(found.mapInArrow(rows, "key binary").distinct(), "rejected")
+    return without_texts(docs.where(F.col("text").isNotNull()), gone)

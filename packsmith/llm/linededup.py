@@ -8,7 +8,8 @@ A batch is checked by a merge anti-join: its own sorted hashes against the runs.
 
 The rule by which a line goes needs the count over all documents, so documents are read twice: once for the runs and once for
 the decision. The hashes of frequent lines go to the second pass by broadcast while they are counted to be at most
-BROADCAST_KEYS; beyond that by a shuffle on the hash, of which Spark splits hot keys.
+BROADCAST_KEYS; beyond that hashes and keys of rows are joined on the hash, of which Spark splits hot keys, and each text meets the
+hashes of its own lines in one join.
 
 Edge cases: a null or empty text is one empty line; every row counts as a document; a null doc_id is smaller than any other;
 keys shorter than min_chars are never dropped; if all lines go, the text is empty; other columns are kept or ignored.
@@ -26,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsmith.llm.arrays import LOWER, NONSPACE, U64, bounded, text_bytes
+from packsmith.llm.arrays import LOWER, NONSPACE, U64, bounded, pair_places, text_bytes
+from packsmith.llm.texts import row_key, unused
 from packsmith.session import remove, scratch, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -35,6 +37,8 @@ PIECE_BYTES = 4 << 20
 #: Entries that a task holds before it passes its runs on.
 TASK_ENTRIES = 1 << 21
 BROADCAST_KEYS = 1 << 21
+#: Bytes of input for each hash bucket, and the largest count that is kept.
+BUCKET_BYTES, MOST_DOCS = 64 << 20, (1 << 32) - 1
 NO_ID = -(1 << 63)
 RUN_SCHEMA = "bucket int, hashes binary, n_docs binary, last_doc binary"
 
@@ -132,33 +136,26 @@ class Levels:
 
 def matches(run: Run, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The place of each hash in the run, -1 if it isn't there: the merge join of sorted hashes."""
-    out = np.full(len(high), -1)
-    at, open_ = np.searchsorted(run[0], high), np.arange(len(high))
-    while len(open_):
-        inside = at < len(run[0])
-        at, open_ = at[inside], open_[inside]
-        equal = run[0][at] == high[open_]
-        at, open_ = at[equal], open_[equal]
-        hit = run[1][at] == low[open_]
-        out[open_[hit]] = at[hit]
-        at, open_ = at[~hit] + 1, open_[~hit]
-    return out
+    return pair_places(run[0], run[1], high, low)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
+def _lists(data: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Rows of data, cut at the given places, as values of bytes."""
+    size = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * size).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _pack(run: Run, buckets: int) -> pa.RecordBatch:
-    """The run cut at the borders of the hash buckets."""
+    """The run cut at the borders of the hash buckets. Counts are kept up to the largest of 32 bits, which is far above any bound."""
     bucket = ((run[0] >> U64(32)) * U64(buckets)) >> U64(32)
-    cut = np.r_[np.searchsorted(bucket, np.arange(buckets, dtype=U64)), len(bucket)]
-    own = np.flatnonzero(np.diff(cut))
-    parts = [slice(cut[k], cut[k + 1]) for k in own]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(own, pa.int32()), pa.array([np.stack([run[0][s], run[1][s]], axis=1).tobytes() for s in parts], pa.binary()), pa.array([run[2][s].astype(np.uint32).tobytes() for s in parts], pa.binary()), pa.array([run[3][s].tobytes() for s in parts], pa.binary())],
-        names=["bucket", "hashes", "n_docs", "last_doc"],
-    )
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    cut = np.r_[first, len(bucket)]
+    hashes, n_docs = np.stack([run[0], run[1]], axis=1), np.minimum(run[2], MOST_DOCS).astype(np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), _lists(hashes, cut), _lists(n_docs, cut), _lists(run[3], cut)], names=["bucket", "hashes", "n_docs", "last_doc"])
 
 
 def _unpack(hashes: bytes, n_docs: bytes, last: bytes) -> Run:
@@ -192,12 +189,17 @@ def _bucket_runs(buckets: int):
     return runs
 
 
+def read_bytes(df: DataFrame) -> int:
+    """The bytes that Spark expects df to have, of its files or rows; at most what a 32-bit bucket number allows."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), BUCKET_BYTES << 30)
+
+
 class LineRuns:
     """The store: for each level, tables of runs by hash bucket in the shared folder."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan: int = FAN, min_chars: int = MIN_CHARS) -> None:
         self.spark, self.fan, self.min_chars = spark, fan, min_chars
-        self.buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         self.levels: list[list[str]] = []
 
     def _merged(self, runs: DataFrame) -> DataFrame:
@@ -211,6 +213,8 @@ class LineRuns:
 
     def add(self, docs: DataFrame) -> None:
         """Add a batch (doc_id, text), and compact each level that is full."""
+        # The first batch's size gives the number of buckets, so that one fits a worker's memory at any size.
+        self.buckets = self.buckets or max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-read_bytes(docs) // BUCKET_BYTES))
         docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         where = self._write(docs.mapInArrow(_task_runs(self.buckets, self.min_chars), RUN_SCHEMA))
         level = 0
@@ -264,12 +268,19 @@ def _dropped(lines: Lines, ids: np.ndarray, run: Run, first_come: bool = False)
 def _local(lines: Lines, gone: pa.Array) -> np.ndarray:
     """The lines whose hash is in the row's own list of 16-byte hashes."""
     drop = np.zeros(len(lines.row), bool)
-    rows = lines.row[lines.long]
-    for k, own in enumerate(gone.to_pylist()):
-        if own:
-            pairs = set(own)
-            mine = np.flatnonzero(rows == k)
-            drop[lines.long[mine]] = [np.array([h, w], U64).tobytes() in pairs for h, w in zip(lines.high[mine], lines.low[mine], strict=True)]
+    counts = pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False)
+    wanted = np.frombuffer(b"".join(gone.flatten().to_pylist()), ">u8").astype(U64).reshape(-1, 2)
+    row = lines.row[lines.long]
+    # Lines and listed hashes in one order: a stretch of equal (row, hash) goes if something listed is in it.
+    rows = np.concatenate([row, np.repeat(np.arange(len(counts)), counts)])
+    high, low = np.concatenate([lines.high, wanted[:, 0]]), np.concatenate([lines.low, wanted[:, 1]])
+    order = np.lexsort((low, high, rows))
+    rows, high, low = rows[order], high[order], low[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(rows)])
+    if len(first):
+        listed = np.logical_or.reduceat(order >= len(row), first)
+        hit = order[np.repeat(listed, np.diff(np.r_[first, len(rows)]))]
+        drop[lines.long[hit[hit < len(row)]]] = True
     return drop
 
 
@@ -280,18 +291,20 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, digest: bool = False, first
     """
     spark, n_keys = docs.sparkSession, int(frequent.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0]) // 16
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text") if digest else docs
+    gone = unused(base, "__gone")
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string" if digest else docs.schema
     columns, held = docs.columns, None
     if n_keys <= broadcast_keys:
         parts = [_unpack(bytes(r.hashes), bytes(r.n_docs), bytes(r.last_doc)) for r in frequent.orderBy("bucket").collect()]
         held = spark.sparkContext.broadcast(compacted(parts) if parts else EMPTY)
     else:
-        base = base.join(_decisions(docs, frequent, min_chars, first_come), base["doc_id"].cast("bigint").eqNullSafe(F.col("__id")), "left").drop("__id")
+        key, own = unused(base, "__key"), unused(base, "__own")
+        base = base.withColumn(key, row_key()).join(_decisions(docs, frequent, min_chars, first_come).toDF(own, gone), F.col(key) == F.col(own), "left").drop(key, own)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", PIECE_BYTES):
             lines, ids = Lines(batch.column("text"), min_chars), _ids(batch.column("doc_id"))
-            drop = _local(lines, batch.column("__gone")) if held is None else _dropped(lines, ids, held.value, first_come)
+            drop = _local(lines, batch.column(gone)) if held is None else _dropped(lines, ids, held.value, first_come)
             texts = lines.texts(drop)
             if digest:
                 n_dropped = np.bincount(lines.row[drop], minlength=len(texts))
@@ -307,25 +320,30 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, digest: bool = False, first
 
 
 def _decisions(docs: DataFrame, frequent: DataFrame, min_chars: int, first_come: bool) -> DataFrame:
-    """(__id, __gone: hashes of the lines that the document loses), by a join on the hash."""
+    """(key of a row, hashes of the lines that it loses), by a join on the hash. Hashes and keys of rows move, texts do not."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", PIECE_BYTES):
-            lines, ids = Lines(batch.column("text"), min_chars), batch.column("doc_id")
-            pairs = np.stack([lines.high, lines.low], axis=1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row[lines.long])), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["__id", "hash"])
+            lines, ids = Lines(batch.column("text"), min_chars), _ids(batch.column("doc_id"))
+            row = lines.row[lines.long]
+            order = np.lexsort((lines.low, lines.high, row))
+            new = order[np.r_[True, (np.diff(row[order]) != 0) | (np.diff(lines.high[order]) != 0) | (np.diff(lines.low[order]) != 0)][: len(order)]]
+            pairs = np.stack([lines.high[new], lines.low[new]], axis=1).astype(">u8")
+            yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(row[new])), pa.array(ids[row[new]]), _lists(pairs, np.arange(len(new) + 1))], names=["row_key", "own", "hash"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hashes, last in zip(batch.column("hashes").to_pylist(), batch.column("last_doc").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([hashes[k : k + 16] for k in range(0, len(hashes), 16)], pa.binary()), pa.array(np.frombuffer(last, np.int64))], names=["key", "last"])
+                pairs = np.frombuffer(hashes, U64).reshape(-1, 2).astype(">u8")
+                yield pa.RecordBatch.from_arrays([_lists(pairs, np.arange(len(pairs) + 1)), pa.array(np.frombuffer(last, np.int64))], names=["key", "last"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(keys, "__id bigint, hash binary")
+    own = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(keys, "row_key binary, own bigint, hash binary")
     often = frequent.mapInArrow(entries, "key binary, last bigint")
     hit = own.join(often, F.col("hash") == F.col("key"))
     if not first_come:
-        hit = hit.where(F.coalesce("__id", F.lit(NO_ID)) != F.col("last"))
-    return hit.select("__id", "hash").distinct().groupBy("__id").agg(F.collect_list("hash").alias("__gone"))
+        hit = hit.where("own <> last")
+    # Rows that are equal in id and text lose the same lines, so a set for each key is all that is needed.
+    return hit.select("row_key", "hash").distinct().groupBy("row_key").agg(F.collect_list("hash").alias("hashes"))
 
 
 def line_digest(docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -50,7 +50,7 @@ MORE = [
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@"),
+    Rule("url_login", r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
 ]
 RULES = BASE + MORE
 BLOCK_DOCS = 4096

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from packsmith.llm.arrays import LOWER, NONSPACE, U64, bounded, per_row, runs, text_bytes
 from packsmith.llm.components import connected_components, forest
+from packsmith.llm.texts import row_key, unused
 from packsmith.session import stored
 
 SHINGLE = 3
@@ -34,6 +35,10 @@ PIECE_BYTES = 4 << 20
 FINGERPRINTS_AT_ONCE = 4096
 #: Variants in a hash bucket, and those that one task emits, about.
 BUCKET_VARIANTS, TASK_VARIANTS = 1 << 21, 1 << 25
+#: Buckets that one task reduces, one at a time, and links that it holds before it passes them on.
+TASK_BUCKETS, TASK_LINKS = 64, 1 << 20
+#: Keys up to this number are broadcast: some 40 bytes each.
+BROADCAST_ROWS = 1_000_000
 SPREAD = U64(0x9E3779B97F4A7C15)
 GATHER = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BITS = [1 << k for k in range(64)]
@@ -76,15 +81,17 @@ def fingerprints(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, fp), stored; text_key tells apart rows that share an id."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp), stored; with keyed also key, which tells apart the rows that share an id."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", PIECE_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fingerprints(batch.column("text")).view(np.int64))], names=["doc_id", "text_key", "fp"])
+            own = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(fingerprints(batch.column("text")).view(np.int64))], names=[*own, "fp"])
 
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return stored(docs.mapInArrow(rows, "doc_id bigint, text_key bigint, fp bigint"), "fingerprints")
+    key = [row_key(id_col, text_col).alias("key")] if keyed else []
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *key, F.col(text_col).alias("text"))
+    return stored(docs.mapInArrow(rows, f"doc_id bigint, {'key binary, ' if keyed else ''}fp bigint"), "fingerprints")
 
 
 def _ball(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,98 +104,130 @@ def _ball(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], codes[order]
 
 
+def _lists(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive stretches of bytes, up to each of the ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _emit(bits: int):
+    """Variants as blocks by hash bucket, the leading bits of the spread variant: its differences, in the bytes that the largest needs."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits)
+        low = U64((1 << (64 - bits)) - 1)
         for batch in batches:
             for start in range(0, batch.num_rows, FINGERPRINTS_AT_ONCE):
                 keys, codes = _ball(batch.column("fp")[start : start + FINGERPRINTS_AT_ONCE].to_numpy(zero_copy_only=False).view(U64))
-                cut = np.r_[np.searchsorted(keys, edges), len(keys)]
-                out = []
-                for bucket in range(1 << bits):
-                    own = keys[cut[bucket] : cut[bucket + 1]]
-                    if len(own):
-                        gaps = np.diff(own, prepend=U64(0))
-                        gaps[0] = own[0] - edges[bucket]
-                        width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-                        packed = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-                        out.append((bucket, width, packed, codes[cut[bucket] : cut[bucket + 1]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "width", "gaps", "codes"])
+                bucket = keys >> U64(64 - bits)
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                ends, gaps = np.r_[first[1:], len(keys)], np.diff(keys, prepend=U64(0))
+                gaps[first] = keys[first] & low
+                width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+                packed = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+                columns = [pa.array(bucket[first].astype(np.int64)), pa.array(np.full(len(first), width, np.int32)), _lists(packed, ends * width), _lists(codes, 2 * ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "width", "gaps", "codes"])
 
     return emit
 
 
-def _links(bits: int):
-    def reduce(bucket: int, parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        keys = []
-        for width, packed, _ in parts:
-            wide = np.zeros((len(packed) // width, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
-            keys.append(np.cumsum(wide.view("<u8").ravel()) + (U64(bucket) << U64(64 - bits)))
-        keys, codes = np.concatenate(keys), np.concatenate([np.frombuffer(c, np.uint16) for _, _, c in parts])
-        order = np.argsort(keys)
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        own = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-        keys, codes = keys[own], codes[order[own]]
-        fps = (keys * GATHER) ^ MASKS[codes]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-        if not len(first):
-            return np.zeros(0, U64), np.zeros(0, U64)
-        near = codes < len(NEAR)
-        some = np.repeat(np.logical_or.reduceat(near, first), np.diff(np.r_[first, len(keys)]))
-        keys, fps, near = keys[some], fps[some], near[some]
-        order = np.lexsort((fps, ~near, keys))
-        keys, fps = keys[order], fps[order]
-        heads = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-        hub = fps[np.flatnonzero(heads)][np.cumsum(heads) - 1]
-        true = (hub != fps) & (np.bitwise_count(hub ^ fps) <= 3)
-        return hub[true], fps[true]
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a column, and the size of each."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], np.diff(at)
+
+
+def _decoded(block: pa.RecordBatch, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The variants and mask numbers of rows of one bucket and one width."""
+    width = block.column("width")[0].as_py()
+    packed, sizes = _values(block.column("gaps"))
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = packed.reshape(-1, width)
+    sums, n = np.cumsum(wide.view("<u8").ravel()), sizes // width
+    before = np.r_[U64(0), sums][np.cumsum(n) - n]
+    codes, _ = _values(block.column("codes"))
+    return sums - np.repeat(before, n) + (U64(bucket) << U64(64 - bits)), codes.view(np.uint16)
+
 
+def _stars(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a bucket: each shared variant gives a star around a member that is within one bit of it."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    own = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    keys, codes = keys[own], codes[order[own]]
+    fps = (keys * GATHER) ^ MASKS[codes]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    if not len(first):
+        return np.zeros(0, U64), np.zeros(0, U64)
+    near = codes < len(NEAR)
+    some = np.repeat(np.logical_or.reduceat(near, first), np.diff(np.r_[first, len(keys)]))
+    keys, fps, near = keys[some], fps[some], near[some]
+    order = np.lexsort((fps, ~near, keys))
+    keys, fps = keys[order], fps[order]
+    heads = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+    hub = fps[np.flatnonzero(heads)][np.cumsum(heads) - 1]
+    true = (hub != fps) & (np.bitwise_count(hub ^ fps) <= 3)
+    return hub[true], fps[true]
+
+
+def _links(bits: int, task_links: int = TASK_LINKS):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, found = None, [], (np.zeros(0, U64), np.zeros(0, U64))
+        bucket, parts, found = None, [], (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-        def grown() -> tuple[np.ndarray, np.ndarray]:
-            a, b = reduce(bucket, parts)
-            a, b = np.concatenate([found[0], a]).view(np.int64), np.concatenate([found[1], b]).view(np.int64)
-            a, b = forest(a, b)
-            return a.view(U64), b.view(U64)
+        def closed() -> tuple[np.ndarray, np.ndarray]:
+            a, b = _stars(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return forest(np.concatenate([found[0], a.view(np.int64)]), np.concatenate([found[1], b.view(np.int64)]))
 
         for batch in batches:
-            for own, width, gaps, codes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if own != bucket and parts:
-                    found, parts = grown(), []
+            buckets, widths = batch.column("bucket").to_numpy(), batch.column("width").to_numpy()
+            cut = np.flatnonzero((np.diff(buckets) != 0) | (np.diff(widths) != 0)) + 1
+            for start, stop in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if stop == start:
+                    continue
+                if (own := int(buckets[start])) != bucket and parts:
+                    found, parts = closed(), []
+                    if len(found[0]) >= task_links:  # a task's forest stays bounded; the rest is done by the components
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+                        found = (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 bucket = own
-                parts.append((width, gaps, codes))
+                parts.append(_decoded(batch.slice(start, stop - start), own, bits))
         if parts:
-            found = grown()
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["a", "b"])
+            found = closed()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
     return links
 
 
-def link_forest(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) with the same components as all links within three bits."""
+def link_forest(fps: DataFrame, bucket_variants: int = BUCKET_VARIANTS, task_links: int = TASK_LINKS) -> DataFrame:
+    """Distinct fingerprints (fp) -> edges (a, b) with the same components as all links within three bits.
+
+    Buckets and tasks follow from the number of fingerprints, so that a bucket has about bucket_variants at any size.
+    """
     spark = fps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = fps.count() * (len(NEAR) + len(FAR) / 2)
-    bits = min(20, max(4, int(np.ceil(np.log2(max(parts, expected / BUCKET_VARIANTS))))))
+    bits = max(4, int(np.ceil(np.log2(max(parts, expected / bucket_variants)))))
+    parts = max(parts, (1 << bits) // TASK_BUCKETS)
     # Few bytes of fingerprints become many of variants, so they are first dealt to enough tasks.
     tasks = max(parts, int(expected // TASK_VARIANTS) + 1)
-    blocks = fps.select("fp").repartition(tasks).mapInArrow(_emit(bits), "bucket int, width int, gaps binary, codes binary")
-    dealt = blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_links(bits), "a bigint, b bigint").where("a <> b")
+    blocks = fps.select("fp").repartition(tasks).mapInArrow(_emit(bits), "bucket bigint, width int, gaps binary, codes binary")
+    dealt = blocks.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_links(bits, task_links), "a bigint, b bigint").where("a <> b")
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp) -> the same with root, the smallest fingerprint reachable over links, and component_id, the smallest doc_id there."""
-    reps = stored(table.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    """(doc_id, fp and maybe key) -> the same with component_id, the smallest doc_id of all fingerprints reachable over links, and,
+    where there are keys, first_key, that of the component's first row: by id, nulls last, then by key."""
+    keyed = "key" in table.columns
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(["key"] if keyed else [])))
+    reps = stored(table.groupBy("fp").agg(first.alias("first")), "distinct")
     roots = connected_components(stored(link_forest(reps), "links"))
     # Only linked fingerprints need a second look; all others are their own component.
-    rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
-    return table.join(classes, table["fp"] == classes["class_fp"], "left").select("doc_id", "text_key", "fp", "root", "component_id")
+    rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = [F.col("first.doc_id").alias("component_id"), *([F.col("first.key").alias("first_key")] if keyed else [])]
+    classes = rooted.select(F.col("fp").alias("class_fp"), "root").join(least, "root").select("class_fp", *chosen)
+    return table.join(classes, table["fp"] == classes["class_fp"], "left").drop("class_fp")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -197,12 +236,24 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, but of each component only the one with the smallest id (and, for equal ids, one of them)."""
-    found = near_duplicates(fingerprint_table(docs, id_col, text_col))
-    # Components are told apart by their root, as ids may be repeated or null; null ids come last.
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    keep = stored(first.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_key").alias("keep_key")), "keep")
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    joined = keyed.join(keep, keyed[id_col].eqNullSafe(F.col("keep_id")) & (keyed["__key"] == F.col("keep_key")), "left_semi")
-    return joined.dropDuplicates([id_col, "__key"]).select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents, but of each component only the one with the smallest id; of rows with that id and one text, one.
+
+    It is decided on keys of rows, and texts are filtered by the keys that go. These are broadcast while they are counted to be at
+    most `most`, so that no text moves; beyond that the texts are joined once. Only rows that a kept one repeats exactly, in id
+    and text, are dealt by key.
+    """
+    found = stored(near_duplicates(fingerprint_table(docs, id_col, text_col, keyed=True)).select("key", "first_key"), "keys")
+    own, key = unused(docs, "__own"), unused(docs, "__key")
+    gone = found.where("key <> first_key").select(F.col("key").alias(own)).distinct()
+    repeated = stored(found.where("key = first_key").groupBy("key").count().where("count > 1").select(F.col("key").alias(own)), "repeated")
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+    docs, columns = docs.withColumn(key, row_key(id_col, text_col)), docs.columns
+    if not repeated.limit(1).count():
+        return docs.join(side(stored(gone, "gone")), F.col(key) == F.col(own), "left_anti").select(*columns)
+    once = docs.join(side(stored(gone.unionByName(repeated), "gone")), F.col(key) == F.col(own), "left_anti")
+    again = docs.join(side(repeated), F.col(key) == F.col(own), "left_semi").dropDuplicates([key])
+    return once.unionByName(again).select(*columns)

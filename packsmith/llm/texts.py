@@ -16,6 +16,13 @@ def text_key(text_col: str = "text") -> Column:
     return F.unhex(F.sha2(F.col(text_col), 256))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """One key for the id and the text of a row, never null: 16 bytes of the text's SHA-256 (none for a null text), then the id."""
+    text = F.coalesce(F.substring(text_key(text_col), 1, 16), F.lit(b""))
+    number = F.coalesce(F.concat(F.lit(":"), F.col(id_col).cast("bigint").cast("string")), F.lit("")).cast("binary")
+    return F.concat(text, number)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name like stem that df doesn't have, whatever the case."""
     known = {c.lower() for c in df.columns}

@@ -13,7 +13,8 @@ stay sound. The line feed is the record separator of Spark's text sink, which wr
 any file system that Spark knows. The index has for each record its shard, offset, length, doc_id, number of ids and first
 position in the whole sequence.
 
-Rows go to shards by bounds that approximate quantiles of doc_id give. An id that fills several shards alone is spread over them
+The number of shards follows from the bytes of text, and rows go to shards by bounds that approximate quantiles of doc_id give, rows
+weighed by their size. An id that fills several shards alone is spread over them
 by a hash of the text, which is also the order within equal ids.
 
 Edge cases: a null or empty text gives the end id alone; a null doc_id comes first; other columns are ignored; an empty table
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from packsmith.llm.arrays import LOWER, bounded, per_row, ragged, runs, text_bytes
 from packsmith.llm.wordcache import WordCache
-from packsmith.session import scratch
+from packsmith.session import scratch, stored
 
 END_ID = 1
 #: Words that the library gets in one text.
@@ -42,6 +43,8 @@ JOINED = 128
 #: Characters that the library gets in one call, about.
 TEXTS_BYTES = 1 << 18
 PIECE_BYTES = 1 << 20
+#: Bytes of text for each shard, about; a shard is read as one value, which may have 2 GB.
+SHARD_BYTES = 256 << 20
 MASK = 0xA282EAD8
 HEAD, FOOT, FIELDS = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqI")
 #: Bytes that part words: white space to any tokenizer that drops it.
@@ -172,13 +175,27 @@ def shard_of(ids: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarra
     return np.where(high > low + 1, low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low), high).astype(np.int32)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+def shard_bounds(docs: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The ids that part docs (doc_id, text) into shards of about shard_bytes of text, and at least as many as shuffle partitions.
+
+    A row weighs as many units as its text has, of the mean size, so that ids with long texts get shards of their own.
+    """
+    own = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
+    sizes = stored(docs.select(own, F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size")), "sizes")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    if not n or shards == 1:
+        return np.zeros(0, np.int64)
+    units = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("size") / max(1, total // n)))
+    quantiles = sizes.select("doc_id", F.explode(units)).approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards)
+    return np.clip(np.sort(np.array(quantiles, np.float64)), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+
+
+def write_records(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode docs and write the shards to path."""
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"), F.col(text_col).alias("text"))
-    quantiles = docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
-    bounds = np.array(sorted(quantiles), np.float64).astype(np.int64)
+    bounds = shard_bounds(docs, shard_bytes)
+    shards = len(bounds) + 1
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -68,6 +68,25 @@ def test_edge_cases(spark):
     assert ann.nearest(spark.createDataFrame([(1, [1.0], 1), (2, [1.0], 1)], schema)).count() == 0
 
 
+def test_extreme_magnitudes(spark):
+    """Parts whose squares overflow or underflow give the true cosine."""
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2e200]), (2, [3e-200, 0.0]), (3, [1e308, 1e308]), (4, [5e-324, 5e-324]), (50, [0.0, 1e-310])]
+    got = found(ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")))
+    half = 1 / np.sqrt(2)
+    want = {0: {1: 1 / np.sqrt(5), 2: 1.0, 3: half, 4: half, 50: 0.0}, 50: {0: 0.0, 1: 2 / np.sqrt(5), 2: 0.0, 3: half, 4: half}}
+    assert got.keys() == want.keys()
+    for query, own in got.items():
+        assert {j for j, _ in own} == set(want[query])
+        assert all(abs(score - want[query][j]) < 1e-12 for j, score in own)
+
+
+def test_scaling_changes_no_score():
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((200, 24)) * 10.0 ** rng.integers(-20, 20, (200, 1)), rng.standard_normal((200, 24))
+    plain = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    assert (ann.cosine(a, b) == plain).all()
+
+
 def test_hilbert_curve_visits_neighbours():
     for bits, dims in ((3, 2), (2, 3), (2, 4)):
         side = 1 << bits

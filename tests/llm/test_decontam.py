@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from packsmith.llm import arrays
 from packsmith.llm import decontam as dc
 
 
@@ -88,14 +89,55 @@ def test_empty_tables(spark):
     assert dc.decontaminate(one, bench).count() == 0 and dc.decontaminate(one, bench.limit(0)).count() == 1
 
 
-def test_proximity(spark):
-    texts = ["alpha one two beta three gamma", "alpha x x x x x x beta gamma", "beta alpha", "gamma beta alpha"]
-    (r,) = dc.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)).collect()
-    segment = dc.Segment(r.terms, r.counts, r.postings, np.array(r.n_words))
-    terms = lambda t: dc.words(pa.array([t]))[0]
-    at = segment.proximity(terms("alpha beta gamma"), 5)
-    assert sorted({r.doc_ids[k] for k in segment.row_of(at)}) == [0, 3]
-    assert len(segment.proximity(terms("alpha missing"), 3)) == 0
+def shortest(text, item, reach):
+    """The shortest stretch of text with all words of the item: (width, position), by brute force."""
+    own, want = words(text), set(words(item))
+    found = [(w, p) for p in range(len(own)) for w in range(1, reach + 1) if p + w <= len(own) and want and want <= set(own[p : p + w])]
+    return min(found, default=None)
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(8)
+    vocab = [f"v{k}" for k in range(12)] + ["É", "Zed"]
+    docs = [(k, " ".join(rng.choices(vocab, k=rng.randint(0, 40)))) for k in range(80)] + [(None, "v1 v2 v3"), (90, None), (91, ""), (92, "v1 " * 3000 + "v2"), (93, "v1 v2"), (93, "v1 v2")]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 4)))) for k in range(12)] + [(50, "nowhere v1"), (51, ""), (52, None), (None, "v2 v1")]
+    index = dc.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for reach in (1, 3, 10):
+        want = sorted(str((i, None if j is None else str(j), best[1], best[0])) for i, t in docs for j, q in items for best in [shortest(t, q, reach)] if best)
+        for block_words in (5, 1000):
+            assert sorted(str(tuple(r)) for r in dc.proximity(index, bench, reach, block_words).collect()) == want
+    assert dc.proximity(index, bench.limit(0), 5).count() == 0
+
+
+def thue_morse(size, a="a", b="b"):
+    """Two words of a length that is a power of two, one with the letters of the other swapped."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return "".join((a, b)[k] for k in bits), "".join((b, a)[k] for k in bits)
+
+
+def test_words_with_equal_hashes_are_told_apart(spark):
+    """These words share the fast hash, whatever its odd base."""
+    one, other = thue_morse(2048)
+    column = pa.array([f"{one} {other} {one}"])
+    data, offsets = dc.text_bytes(column)
+    starts, ends = dc.runs(data, offsets, dc.ALNUM)
+    assert len(set(arrays.span_hashes(data, starts, ends).tolist())) == 1
+    docs = [(1, one), (2, other), (3, f"{other} {one} {other}"), (4, thue_morse(1024)[0])]
+    check(spark, docs, [(1, one), (2, thue_morse(1024)[1])])
+
+
+def test_grouped_spans_against_brute_force():
+    rng = random.Random(5)
+    pool = [*thue_morse(1024), *thue_morse(2048), "", "x", "y" * 9, "y" * 8, "z" * 100, "z" * 99 + "w", "ab", "ba"]
+    text = [rng.choice(pool).encode() for _ in range(300)]
+    data, ends = np.frombuffer(b"".join(text), np.uint8), np.cumsum([len(t) for t in text])
+    order, first, _ = arrays.grouped_spans(data, ends - np.array([len(t) for t in text]), ends)
+    groups = [order[a:b].tolist() for a, b in zip(first, np.r_[first[1:], len(order)])]
+    want = {}
+    for k, t in enumerate(text):
+        want.setdefault(t, []).append(k)
+    assert sorted(groups) == sorted(want.values())
 
 
 def test_decontaminate_goes_by_row(spark):

@@ -23,7 +23,7 @@ def plain(text, templates=lc.TEMPLATES):
         own = set(grams(words(t)))
         size = lc.block_size(len(own))
         for start in range(0, len(ws), size):
-            part = ws[start : start + 2 * size]
+            part = ws[start : start + lc.BLOCKS * size]
             share = len(own & set(part)) / len(own)
             if share >= 0.8:
                 at = [start + k for k, g in enumerate(part) if g in own]
@@ -63,6 +63,30 @@ def test_many_templates(spark):
     assert sorted(map(tuple, got)) == sorted((i, *plain(t, own)) for i, t in rows)
 
 
+def test_windows_at_every_position():
+    """A notice with an insertion of its own length is found wherever it begins."""
+    own = lc.TEMPLATES["mit-terms"].split()
+    torn = " ".join([*own[:30], *(f"foreign{k}" for k in range(len(own) - 6)), *own[30:]])
+    texts = [" ".join(["filler"] * k + [torn] + ["end"] * (97 - k)) for k in range(97)]
+    found = lc.Scanner().scan(lc.pa.array(texts))
+    place = sorted(lc.TEMPLATES).index("mit-terms")
+    share = len(set(grams(words(torn))) & set(grams(words(lc.TEMPLATES["mit-terms"])))) / len(set(grams(words(lc.TEMPLATES["mit-terms"]))))
+    assert share >= 0.9
+    assert [x[place][0] for x in found] == [share] * 97
+
+
+def test_near_misses():
+    """Notices of related licenses, and one whose words have the hashes of the template's, are told apart."""
+    names = sorted(lc.TEMPLATES)
+    for name in ("lgpl-notice", "agpl-3.0-notice", "gpl-notice", "bsd-warranty", "mit-warranty", "boost-terms", "mit-terms", "zlib-terms"):
+        (found,) = lc.Scanner().scan(lc.pa.array([lc.TEMPLATES[name]]))
+        assert [names[k] for k in found] == [name]
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join(x[k] for k in bits) for x in ("ab", "ba"))
+    scanner = lc.Scanner({"t": f"{one} two three four five six"})
+    assert [len(x) for x in scanner.scan(lc.pa.array([f"{one} two three four five six", f"{other} two three four five six"]))] == [1, 0]
+
+
 def test_edge_cases(spark):
     t = lc.TEMPLATES["mit-line"]
     check(spark, [(1, None), (2, ""), (3, "too few words"), (None, t), (5, t), (5, t), (6, "é " * 30_000 + t + " 中" * 30_000)])

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from packsmith.llm import linededup as ld
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -64,6 +66,37 @@ def test_texts_and_columns(spark):
     assert [r.text for r in got if r.doc_id == 5000] == [None]
 
 
+def test_columns_with_names_used_inside(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, k, 0, 0) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, __gone int, __key int, __own int")
+    store = ld.LineRuns(spark)
+    store.add(docs)
+    want = sorted(((i, h) for i, _, _, h in plain(rows)), key=str)
+    for most in (0, 1 << 20):
+        got = ld.drop_lines(docs, store.frequent(), broadcast_keys=most)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()), key=str) == want
+
+
+def test_counts_stop_at_the_largest(spark):
+    """A line in 2**32 + 1 documents is not one that occurs once."""
+    one = np.zeros(1, np.uint64)
+    batch = ld._pack((one, one, np.array([(1 << 32) + 1]), np.array([7])), 4)
+    assert ld._unpack(*(batch.column(k)[0].as_py() for k in (1, 2, 3)))[2].tolist() == [ld.MOST_DOCS]
+
+
+def test_many_buckets_and_a_large_frequent_table(spark, monkeypatch):
+    """Buckets that follow from the size of the input, and more frequent lines than are broadcast."""
+    rows = [(i, "\n".join(f"line number {j} of a large pool of lines" for j in range(i % 50, i % 50 + 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(ld, "BUCKET_BYTES", 512)
+    store = ld.LineRuns(spark)
+    store.add(docs)
+    assert store.buckets > 300
+    frequent = ld.stored(store.frequent(), "frequent")
+    assert result(ld.drop_lines(docs, frequent, digest=True, broadcast_keys=10)) == result(ld.drop_lines(docs, frequent, digest=True)) == plain(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert ld.line_digest(docs).count() == 0

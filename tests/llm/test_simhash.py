@@ -60,11 +60,40 @@ def test_all_distances(spark):
             for b in rng.sample(range(64), d):
                 y ^= 1 << b
             fps.append(y)
-    rows = [(i, i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text_key bigint, fp bigint")).collect()}
+    rows = [(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)]
+    table = spark.createDataFrame(rows, "doc_id bigint, fp bigint")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table).collect()}
     assert got == plain_components(dict(enumerate(fps)))
 
 
+def test_many_small_buckets_and_forests(spark):
+    """Buckets and tasks that follow from the number of fingerprints, and forests that are passed on in parts."""
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps for _ in range(3)]
+    table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in set(fps)], "fp bigint")
+    links = simhash.link_forest(table, bucket_variants=4, task_links=1)
+    assert links.rdd.getNumPartitions() > 8
+    roots = {r.node: r.root for r in connected_components(links).collect()}
+    as_int = lambda f: int(np.uint64(f).view(np.int64))
+    got = {f: roots.get(as_int(f), as_int(f)) for f in set(fps)}
+    want = plain_components({f: f for f in set(fps)})
+    groups = lambda by: sorted(sorted(k for k in by if by[k] == v) for v in set(by.values()))
+    assert groups(got) == groups(want)
+
+
+def test_kept_rows(spark):
+    """Repeated ids with other texts, rows repeated exactly, null ids, columns with names used inside; with and without broadcasts."""
+    text = {k: " ".join(f"word{k}x{j}" for j in range(40)) for k in range(6)}
+    rows = [(1, text[0]), (1, text[1]), (2, text[0]), (1, text[1]), (3, text[2]), (3, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (4, None), (5, ""), (6, text[4])]
+    docs = spark.createDataFrame([(i, t, k, 0, 0) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, keep_id int, __own int, __key int")
+    for most in (1000, 0):
+        got = simhash.keep_one(docs, most=most)
+        assert got.columns == docs.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [(1, text[0]), (1, text[1]), (3, text[2]), (None, text[3]), (4, None), (6, text[4])])
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_edge_cases(spark):
     long = "alpha beta " * 50_000
     rows = [(1, None, "x"), (2, "", "y"), (3, "  \n\t", None), (4, "One two THREE four", "a"), (4, "One two THREE four", "b"), (None, "one two three four", "c"), (6, "word", None), (7, long, None)]

@@ -76,6 +76,33 @@ def test_damage_is_found():
         list(tb.records(good[:-5]))
 
 
+def test_shards_follow_the_bytes(spark, tokenizer):
+    """Many shards, with long texts, a hot id and null ids spread by their bytes."""
+    rows = [(i, f"text number {i} ") for i in range(60)] + [(100 + i, f"{i} long " * 400) for i in range(10)] + [(500, f"hot id {i} " * 30) for i in range(40)] + [(None, f"no id {i} " * 30) for i in range(40)] + [((1 << 63) - 1, "largest"), (-(1 << 63), "smallest")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    where = scratch(spark, "records")
+    tb.write_records(docs, where, MODEL, shard_bytes=2000)
+    sizes = [len(bytes(r.content)) for r in spark.read.format("binaryFile").load(where).collect()]
+    assert len(sizes) > 20 and max(sizes) < 5000
+    index = tb.write_index(spark, where, scratch(spark, "offsets")).collect()
+    by_place = sorted(index, key=lambda r: r.start)
+    assert [r.start for r in by_place] == np.cumsum([0] + [r.n_tokens for r in by_place])[:-1].tolist()
+    ids = [-(1 << 63) if r.doc_id is None else r.doc_id for r in by_place]
+    assert ids == sorted(ids)
+    whole = lambda found: sorted((str(i), n, c) for i, n, c in found)
+    assert whole((r.doc_id, r.n_tokens, r.ids_crc32) for r in index) == whole((i, n, c) for i, _, n, c in expected(rows, tokenizer))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_words_with_equal_hashes(spark, tokenizer, size):
+    """Words that share the fast hash get their own ids, in one batch and from the memory of earlier ones."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    one, other = "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+    for texts in ([one], [other], [one + " " + other + " x " + one], [other, one, "plain"]):
+        ids, _ = tb.encode_texts(pa.array(texts), MODEL)
+        assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+
+
 def test_hot_ids_are_spread_in_order():
     ids = np.array([1, 2, 5, 5, 5, 5, 9])
     ties = np.array([0, 0, -(1 << 63), -1, 0, (1 << 63) - 1, 0])
