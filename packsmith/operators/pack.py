@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packsmith import errors
-from packsmith.functions import codecs, packages, transforms
+from packsmith.functions import codecs, packages, race, transforms
 from packsmith.functions.arrow import in_batches, items_of
-from packsmith.functions.scalars import detect_kind, format_size, lenient_mode, ratio_stats, target_for_mode
+from packsmith.functions.scalars import detect_kind, format_size, lenient_mode, ratio_stats, target_for_mode, verdict
 from packsmith.operators.profile import with_entropy
 from packsmith.session import spread
 
@@ -32,6 +32,7 @@ from packsmith.session import spread
 MAGIC_ENCRYPTED, ITERATIONS, SALT_BYTES, NONCE_BYTES = "TQZE", 200_000, 16, 12
 PACK_SCHEMA = "item_id bigint, name string, kind string, mode string, codec string, method string, transform string, orig bigint, new bigint, sha256 string, package binary, verified boolean, error_class string"
 UNPACK_SCHEMA = "pkg_id bigint, content binary, size bigint, sha256 string, kind string, codec string, verified boolean, error_class string"
+CHECKS_TYPE = "array<struct<check:string,ok:boolean,detail:string>>"
 BENCH_SCHEMA = "item_id bigint, mode string, codec string, transform string, pipeline string, orig bigint, new bigint, compress_s double, decompress_s double, verified boolean, error string"
 META_SCHEMA = "v int, kind string, codec string, method string, pre string, transform string, tparams map<string,int>, orig_name string, orig_size bigint, sha256 string, mode string, lossless boolean, advanced boolean, base_name string, base_sha256 string, new_sha string, new_chunks int, total_chunks int"
 
@@ -60,23 +61,63 @@ def _checked(out: DataFrame, strict: bool) -> DataFrame:
     return out.withColumn("error_class", F.when(F.col("error_class").isNotNull(), failed))
 
 
+#: A row of the race: what was tried, on how many bytes, the size that came out, and the settings.
+TRIALS = T.ArrayType(T.StructType().add("transform", "string").add("tried", "long").add("size", "long").add("stride", "integer").add("dict_size", "integer"))
+
+
+def _trials(sample: pa.Array, names: pa.Array) -> pa.Array:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = [race.trials(s or b"", n or []) for s, n in zip(sample.to_pylist(), names.to_pylist(), strict=True)]
+    return pa.array(rows, to_arrow_type(TRIALS))
+
+
+def with_choice(items: DataFrame, name: str = "chosen") -> DataFrame:
+    """items (content, kind, length) with the transform that a pack would try: a struct of entropy (3 places), verdict, transform, codec,
+    stride, est_ratio and tests (the ratio of every trial), from the first 128 KiB.
+
+    The race is a list of trials, one for each transform that the kind allows; its winner is the least (ratio, place in the list).
+    Items that look random or are too large have no trials.
+    """
+    allowed = F.create_map(*[x for kind, names in race.CANDIDATES.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))])
+    own = with_entropy(items, race.SELECT_SAMPLE, "__h")
+    large, h = F.col("length") > packages.ADVANCED_MOST, F.col("__h")
+    names = F.when(~large & (verdict(h) != "incompressible"), F.coalesce(allowed[F.col("kind")], allowed["generic"])).otherwise(F.array().cast("array<string>"))
+    sample = F.when(F.size("__names") > 0, F.substring("content", 1, race.SELECT_SAMPLE))
+    own = own.withColumn("__names", names).withColumn("__trials", F.arrow_udf(_trials, TRIALS)(sample, F.col("__names")))
+    best = F.array_min(F.transform("__trials", lambda t, i: F.struct((t["size"] / t["tried"]).alias("ratio"), i.alias("place"))))
+    won = F.get("__trials", best["place"])
+    codec = F.when(large, "auto").when(verdict(h) == "incompressible", "store").otherwise(race.trial_codec())
+    tests = F.map_from_entries(F.transform("__trials", lambda t: F.struct(t["transform"], F.round(t["size"] / t["tried"], 4))))
+    chosen = F.struct(F.round(h, 3).alias("entropy"), verdict(h).alias("verdict"), F.coalesce(won["transform"], F.lit("none")).alias("transform"), codec.alias("codec"), won["stride"].alias("stride"), F.coalesce(F.round(best["ratio"], 4), F.lit(1.0)).alias("est_ratio"), tests.alias("tests"))
+    return own.withColumn(name, chosen).drop("__h", "__names", "__trials")
+
+
+def _ready(items: DataFrame, advanced: bool) -> DataFrame:
+    """items with their kind, and chosen: what won the race, null unless advanced."""
+    out = items.withColumn("kind", detect_kind(F.col("path"), F.col("content")))
+    if not advanced:
+        return out.withColumn("chosen", F.lit(None).cast("struct<transform:string,codec:string,stride:int>"))
+    return with_choice(spread(out)).withColumn("chosen", F.struct("chosen.transform", "chosen.codec", "chosen.stride"))
+
+
 def pack(items: DataFrame, mode: str | Column = "balanced", allow_dedup: bool = True, advanced: bool = False, verify: bool = True, strict: bool = False, chunk_sizes: tuple[int, int, int] | None = None, dedup_least: int = packages.DEDUP_LEAST) -> DataFrame:
     """Items (item_id, path, content) as packages, each restored and compared if verify."""
     sizes = chunk_sizes or (packages.MIN_CHUNK, packages.AVG_CHUNK, packages.MAX_CHUNK)
     mode = F.lit(mode) if isinstance(mode, str) else mode
 
-    def one(item, name, kind, mode, content):
+    def one(item, name, kind, mode, content, chosen):
         content = content or b""
         try:
-            meta, package = packages.encode(content, name or "", kind, mode, allow_dedup, advanced, sizes, dedup_least)
+            meta, package = packages.encode(content, name or "", kind, mode, allow_dedup, chosen, sizes, dedup_least)
             verified = packages.decode(package, len(content) + 1)[2] if verify else None
             return item, name, kind, mode, meta["codec"], meta["method"], meta["transform"], len(content), len(package), meta["sha256"], package, verified, None if verified in (True, None) else "VerificationError"
         except errors.PackError as e:
             return item, name, kind, mode, None, None, None, len(content), None, None, None, None, _error(e)
 
     name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
-    ready = items.select("item_id", name.alias("name"), detect_kind(F.col("path"), F.col("content")).alias("kind"), lenient_mode(mode).alias("mode"), "content")
-    return _checked(_rowwise(ready, PACK_SCHEMA, one, ["item_id", "name", "kind", "mode", "content"]), strict)
+    ready = _ready(items, advanced).select("item_id", name.alias("name"), "kind", lenient_mode(mode).alias("mode"), "content", "chosen")
+    return _checked(_rowwise(ready, PACK_SCHEMA, one, ["item_id", "name", "kind", "mode", "content", "chosen"]), strict)
 
 
 def pack_stats(packed: DataFrame) -> DataFrame:
@@ -86,18 +127,23 @@ def pack_stats(packed: DataFrame) -> DataFrame:
     return packed.select("item_id", "kind", "codec", "method", "transform", stats.alias("s"), format_size(F.col("orig")).alias("orig_h"), format_size(F.col("new")).alias("new_h"), (F.col("new") <= target).alias("hit_target")).select("item_id", "kind", "codec", "method", "transform", "s.*", "orig_h", "new_h", "hit_target")
 
 
+def _restored(package: bytes, cap: int | None, decode: Callable) -> tuple[dict, bytes | None, bool | None, str | None]:
+    """(header, content, verified, error class) of a package, without raising."""
+    try:
+        meta, content, verified = decode(package, cap)
+        return (meta, None, False, "VerificationError") if verified is False else (meta, content, verified, None)
+    except errors.PackError as e:
+        return {}, None, None, _error(e)
+
+
 def unpack(packed: DataFrame, cap: int | None = None, strict: bool = False, version: str = "any", id_col: str = "item_id") -> DataFrame:
     """Packages (package) restored: content, size, sha256, verified (null where there is no hash) and error_class."""
     decode = {"any": packages.decode_any, "v2": packages.decode, "v1": packages.decode_v1}[version]
 
     def one(item, package):
-        try:
-            meta, content, verified = decode(package or b"", cap)
-            if verified is False:
-                return item, None, None, None, meta.get("kind"), meta.get("codec"), False, "VerificationError"
-            return item, content, len(content), hashlib.sha256(content).hexdigest(), meta.get("kind"), meta.get("codec"), verified, None
-        except errors.PackError as e:
-            return item, None, None, None, None, None, None, _error(e)
+        meta, content, verified, error = _restored(package or b"", cap, decode)
+        known = (None, None, None) if content is None else (content, len(content), hashlib.sha256(content).hexdigest())
+        return item, *known, meta.get("kind"), meta.get("codec"), verified, error
 
     return _checked(_rowwise(packed, UNPACK_SCHEMA, one, [id_col, "package"]), strict)
 
@@ -139,37 +185,51 @@ def header(package: Column) -> Column:
     return F.struct(F.when(known, F.when(v2, 2).otherwise(1)).alias("v"), F.when(good, meta).alias("meta"), F.when(good, body).alias("body"), F.when(~F.coalesce(good, F.lit(False)), "CorruptPackageError").alias("error_class"))
 
 
+def _certificate(package: bytes, content: bytes | None = None, compat: bool = False) -> tuple:
+    """(verdict, checks, quality, name, size) of a package; content: what it restored to, where that is known to be right."""
+    magic, checks, meta, outcome = package[:4], [], {}, None
+    checks.append(("magic", magic in (packages.MAGIC, packages.MAGIC_V1), magic.hex()))
+    if magic == packages.MAGIC_V1:
+        checks += [("header", True, "version 1, without a hash"), ("sha256", True, "skipped")]
+        outcome = "PASS" if compat else "UNVERIFIED"
+    elif magic == packages.MAGIC:
+        try:
+            meta, _ = packages.parse(package)
+            checks.append(("header", True, f"v{meta.get('v')} kind={meta.get('kind')} codec={meta.get('codec')}"))
+            verified = (True if meta.get("sha256") else None) if content is not None else None
+            if content is None:
+                _, content, verified = packages.decode(package)
+            checks += [("sha256", verified is True, f"size={len(content)}"), ("size", len(content) == meta.get("orig_size"), f"{len(content)}=={meta.get('orig_size')}")]
+            outcome = "UNVERIFIED" if verified is None else None
+        except errors.PackError as e:
+            checks.append(("sha256" if meta else "header", False, str(e)[:160]))
+    else:
+        checks.append(("header", False, "unknown format"))
+    outcome = outcome or ("PASS" if all(ok for _, ok, _ in checks) else "FAIL")
+    rows = [{"check": c, "ok": ok, "detail": d} for c, ok, d in checks]
+    return outcome, rows, "100% (bit-identical)" if outcome == "PASS" else "unknown", meta.get("orig_name"), meta.get("orig_size")
+
+
 def certify(packed: DataFrame, id_col: str = "item_id", compat: bool = False) -> DataFrame:
     """A certificate per package: verdict and the list of checks (check, ok, detail).
 
     Packages without a hash are UNVERIFIED; compat calls them PASS, as the first version's tools do.
     """
-    checks_type = "array<struct<check:string,ok:boolean,detail:string>>"
+    schema = f"pkg_id bigint, verdict string, checks {CHECKS_TYPE}, quality string, orig_name string, orig_size bigint"
+    return _rowwise(packed, schema, lambda item, package: (item, *_certificate(package or b"", None, compat)), [id_col, "package"])
+
+
+def opened(packed: DataFrame, cap: int | None = None, id_col: str = "item_id", compat: bool = False) -> DataFrame:
+    """The columns of unpack, and verdict and checks of certify, with each package decoded once."""
 
     def one(item, package):
-        package, checks = package or b"", []
-        magic = package[:4]
-        checks.append(("magic", magic in (packages.MAGIC, packages.MAGIC_V1), magic.hex()))
-        meta, verdict = {}, None
-        if magic == packages.MAGIC_V1:
-            checks += [("header", True, "version 1, without a hash"), ("sha256", True, "skipped")]
-            verdict = "PASS" if compat else "UNVERIFIED"
-        elif magic == packages.MAGIC:
-            try:
-                meta, _ = packages.parse(package)
-                checks.append(("header", True, f"v{meta.get('v')} kind={meta.get('kind')} codec={meta.get('codec')}"))
-                _, content, verified = packages.decode(package)
-                checks += [("sha256", verified is True, f"size={len(content)}"), ("size", len(content) == meta.get("orig_size"), f"{len(content)}=={meta.get('orig_size')}")]
-                verdict = "UNVERIFIED" if verified is None else None
-            except errors.PackError as e:
-                checks.append(("sha256" if meta else "header", False, str(e)[:160]))
-        else:
-            checks.append(("header", False, "unknown format"))
-        verdict = verdict or ("PASS" if all(ok for _, ok, _ in checks) else "FAIL")
-        rows = [{"check": c, "ok": ok, "detail": d} for c, ok, d in checks]
-        return item, verdict, rows, "100% (bit-identical)" if verdict == "PASS" else "unknown", meta.get("orig_name"), meta.get("orig_size")
+        package = package or b""
+        meta, content, verified, error = _restored(package, cap, packages.decode_any)
+        known = (None, None, None) if content is None else (content, len(content), hashlib.sha256(content).hexdigest())
+        outcome, rows, *_ = _certificate(package, content, compat)
+        return item, *known, meta.get("kind"), meta.get("codec"), verified, error, outcome, rows
 
-    return _rowwise(packed, f"pkg_id bigint, verdict string, checks {checks_type}, quality string, orig_name string, orig_size bigint", one, [id_col, "package"])
+    return _rowwise(packed, f"{UNPACK_SCHEMA}, verdict string, checks {CHECKS_TYPE}", one, [id_col, "package"])
 
 
 def certificate_lines(certs: DataFrame) -> DataFrame:
@@ -178,23 +238,12 @@ def certificate_lines(certs: DataFrame) -> DataFrame:
     return certs.select("pkg_id", "verdict", F.concat_ws("\n", F.concat(F.lit("certificate: "), F.coalesce("orig_name", F.lit("?"))), F.concat(F.lit("verdict: "), "verdict", F.lit(" | quality: "), "quality"), F.array_join(marks, "\n")).alias("text"))
 
 
-def analyse(items: DataFrame) -> DataFrame:
-    """item_id, kind, size, entropy of the first 128 KiB, verdict, and the transform and codec that a pack would try.
-
-    The race runs only for items that pass the entropy gate: they are split off before it, as a CASE does not spare a UDF.
-    """
-    base = with_entropy(items.withColumn("kind", detect_kind(F.col("path"), F.col("content"))), packages.SELECT_SAMPLE)
-    verdict = F.when(F.col("h") <= 6.5, "compressible").when(F.col("h") >= 7.6, "incompressible").otherwise("marginal")
-    base = base.select("item_id", "kind", F.col("length").alias("size"), F.round("h", 3).alias("entropy"), verdict.alias("verdict"), F.substring("content", 1, packages.SELECT_SAMPLE).alias("sample"))
-    large, random = F.col("size") > packages.ADVANCED_MOST, F.col("verdict") == "incompressible"
-    skipped = base.where(large | random).select("item_id", "kind", "size", "entropy", "verdict", F.lit("none").alias("transform"), F.when(large, "auto").otherwise("store").alias("codec"), F.lit(1.0).alias("est_ratio"))
-
-    def one(item, kind, size, entropy, verdict, sample):
-        found = packages.smart_select(sample or b"", kind)
-        return item, kind, size, entropy, verdict, found["transform"], found["codec"], float(found["est_ratio"])
-
-    raced = _rowwise(base.where(~(large | random)), "item_id bigint, kind string, size bigint, entropy double, verdict string, transform string, codec string, est_ratio double", one, ["item_id", "kind", "size", "entropy", "verdict", "sample"])
-    return skipped.unionByName(raced)
+def analyse(items: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """item_id, kind, size, entropy of the first 128 KiB, verdict, and the transform and codec that a pack would try, with its ratio
+    on the sample and those of all trials; keep: further columns to carry."""
+    kinds = items.withColumn("kind", detect_kind(F.col("path"), F.col("content")))
+    chosen = ["entropy", "verdict", "transform", "codec", "est_ratio", "tests"]
+    return with_choice(spread(kinds)).select("item_id", *keep, "kind", F.col("length").alias("size"), *[f"chosen.{c}" for c in chosen])
 
 
 def codec_sizes(items: DataFrame, mode: str = "balanced") -> DataFrame:
@@ -226,18 +275,18 @@ def best_codec(sizes: DataFrame) -> DataFrame:
 def benchmark(items: DataFrame, modes: list[str] = ("fast", "balanced", "max", "ultra"), allow_dedup: bool = True, advanced: bool = False) -> DataFrame:
     """A row per item and mode: sizes, seconds and whether the bytes came back."""
 
-    def one(item, path, kind, mode, content):
+    def one(item, path, kind, mode, content, chosen):
         content, start = content or b"", time.perf_counter()
         try:
-            meta, package = packages.encode(content, path or "", kind, mode, allow_dedup, advanced)
+            meta, package = packages.encode(content, path or "", kind, mode, allow_dedup, chosen)
             middle = time.perf_counter()
             verified = packages.decode(package)[2]
             return item, mode, meta["codec"], meta["transform"], meta["method"], len(content), len(package), middle - start, time.perf_counter() - middle, verified, None
         except errors.PackError as e:
             return item, mode, None, None, None, len(content), None, None, None, None, _error(e)
 
-    ready = items.select("item_id", "path", detect_kind(F.col("path"), F.col("content")).alias("kind"), F.explode(F.array(*map(F.lit, modes))).alias("mode"), "content")
-    out = _rowwise(ready, BENCH_SCHEMA, one, ["item_id", "path", "kind", "mode", "content"])
+    ready = _ready(items, advanced).select("item_id", "path", "kind", F.explode(F.array(*map(F.lit, modes))).alias("mode"), "content", "chosen")
+    out = _rowwise(ready, BENCH_SCHEMA, one, ["item_id", "path", "kind", "mode", "content", "chosen"])
     stats = ratio_stats(F.col("orig"), F.col("new"))
     speed = F.round(F.col("orig") / 1048576 / F.greatest("compress_s", F.lit(1e-9)), 2)
     return out.select("item_id", "mode", "codec", "transform", "pipeline", "orig", "new", stats["ratio"].alias("ratio"), stats["saved_pct"].alias("saved_pct"), F.round("compress_s", 3).alias("compress_s"), F.round("decompress_s", 3).alias("decompress_s"), speed.alias("mb_s"), "verified", "error")

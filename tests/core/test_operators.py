@@ -1,15 +1,19 @@
 """Table operators: dedup, delta, packages, encryption, archives, streams."""
 
 import io
+import math
 import random
+import struct
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from packsmith import errors
+from packsmith.functions import codecs, race, scalars, transforms
 from packsmith.operators import dedup, delta, pack, profile
-from packsmith.session import scratch, stored
+from packsmith.session import scratch, shared_dir, stored
 from packsmith.sources import archives, items
 from packsmith.streaming import dedup as streaming
 from packsmith.streaming import progress
@@ -96,8 +100,84 @@ def test_partitions_do_not_matter(spark):
 
 
 def test_analyse(spark):
-    got = {r.item_id: r for r in pack.analyse(frame(spark, [(1, "a.txt", b"hello " * 5000), (2, "x", rng.randbytes(60000)), (3, "e", b"")])).collect()}
-    assert (got[2].codec, got[2].transform) == ("store", "none") and got[1].verdict == "compressible" and got[3].transform == "none"
+    wave = struct.pack("<30000h", *[int(12000 * math.sin(i / 40)) for i in range(30000)])
+    rows = [(1, "a.txt", b"hello " * 5000), (2, "x", rng.randbytes(60000)), (3, "e", b""), (4, "a.wav", wave), (4, "b.wav", wave)]
+    found = pack.analyse(frame(spark, rows)).collect()
+    got = {r.item_id: r for r in found}
+    assert len(found) == 5
+    assert (got[2].codec, got[2].transform, got[2].verdict) == ("store", "none", "incompressible") and got[2].tests == {}
+    assert got[1].verdict == "compressible" and got[1].entropy < 3 and got[1].tests.keys() == {"none", "delta8", "xor8", "bwt", "pngfilter"}
+    assert (got[3].transform, got[3].codec, got[3].est_ratio, got[3].tests) == ("none", "zstd", 1.0, {})
+    assert got[4].transform == "delta16le" and got[4].est_ratio < 0.5 and got[4].est_ratio == min(got[4].tests.values())
+
+
+def test_race_decides_like_a_plain_minimum(spark):
+    """The winner is the least ratio of all trials, the first of equals, and it is what a pack uses."""
+    rows = [(k, f"{k}.{kind}", data) for k, (kind, data) in enumerate([("csv", b"a,b,c\n" + b"".join(b"%d,%d,x\n" % (i, i * 7 % 13) for i in range(9000))), ("json", b'{"k": [1, 2, 3]}' * 3000), ("exe", bytes(range(64)) * 400), ("txt", rng.randbytes(2500).hex().encode() * 3)])]
+    kinds = {0: "csv", 1: "json", 2: "executable", 3: "text"}
+    analysed = {r.item_id: r for r in pack.analyse(frame(spark, rows)).collect()}
+    packed = {r.item_id: r for r in pack.pack(frame(spark, rows), advanced=True).collect()}
+    for k, _, data in rows:
+        trials = race.trials(data[: race.SELECT_SAMPLE], race.CANDIDATES[kinds[k]])
+        best = min(trials, key=lambda r: r["size"] / r["tried"])
+        assert (analysed[k].kind, analysed[k].transform, analysed[k].est_ratio) == (kinds[k], best["transform"], round(best["size"] / best["tried"], 4))
+        assert packed[k].verified and packed[k].transform in ("none", best["transform"])
+
+
+def test_opened_is_unpack_and_certify(spark):
+    packed = pack.pack(frame(spark, [(1, "a.txt", b"hello " * 500), (2, "b.bin", rng.randbytes(900)), (3, "c", b"")]))
+    old = pack.pack_v1(frame(spark, [(4, "d.txt", b"old")]))
+    bad = packed.where("item_id = 1").select(F.lit(5).cast("bigint").alias("item_id"), F.concat("package", F.lit(b"x")).alias("package"))
+    every = packed.select("item_id", "package").unionByName(old.select("item_id", "package")).unionByName(bad).unionByName(spark.createDataFrame([(6, b"junk"), (7, None), (8, bytes(packed.first().package[:-3]))], "item_id bigint, package binary"))
+    every = stored(every, "packages")
+    got = {r.pkg_id: r for r in pack.opened(every).collect()}
+    for r in pack.unpack(every).collect():
+        assert (r.content, r.size, r.sha256, r.kind, r.verified, r.error_class) == tuple(got[r.pkg_id][c] for c in ("content", "size", "sha256", "kind", "verified", "error_class"))
+    for r in pack.certify(every).collect():
+        assert (r.verdict, r.checks) == (got[r.pkg_id].verdict, got[r.pkg_id].checks)
+
+
+def test_table_backend(spark):
+    store = dedup.BlobStore(spark, dedup.TableBackend(spark, "packsmith_blobs"))
+    spark.sql("DROP TABLE IF EXISTS packsmith_blobs")
+    blobs = spark.createDataFrame([("aa01", b"one"), ("aa01", b"one"), ("bb02", b"two")], "sha string, data binary")
+    store.put(blobs)
+    store.put(blobs)
+    assert store.count() == 2
+    asked = spark.createDataFrame([("bb02",), ("cc03",)], "sha string")
+    assert sorted((r.sha, r.found) for r in store.get(asked).collect()) == [("bb02", True), ("cc03", False)]
+    assert [r.sha for r in store.contains(asked).collect()] == ["bb02"]
+    spark.sql("DROP TABLE packsmith_blobs")
+
+
+def test_shared_dictionary(spark):
+    """One dictionary for a group of alike items helps each of them; a group with too little to learn from has none."""
+    one = lambda k: f"record {k}: status=ok; host=server-{k % 7}.example.org; message=everything is fine here\n".encode() * 6
+    rows = [(k, "many", one(k)) for k in range(400)] + [(1000, "few", b"x")]
+    found = {r.grp: r.dictionary for r in pack.shared_dictionary(spark.createDataFrame(rows, "item_id bigint, grp string, content binary"), "grp", 4096).collect()}
+    assert found["few"] is None
+    dictionary, data = bytes(found["many"]), one(5000)
+    packed = transforms.dict_compress(data, dictionary)
+    assert transforms.dict_decompress(packed, dictionary, len(data)) == data and len(packed) < len(codecs.compress(data, "zstd"))
+
+
+def test_joined_bytes(spark):
+    parts = [bytes(range(256)), b"", "é中".encode(), b"\x00\xff"]
+    df = spark.createDataFrame([(1, parts), (2, [])], "id int, parts array<binary>")
+    got = {r.id: bytes(r.whole) for r in df.select("id", scalars.joined_bytes(F.col("parts")).alias("whole")).collect()}
+    assert got == {1: b"".join(parts), 2: b""}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    def session(master):
+        none = SimpleNamespace(isDefined=lambda: False)
+        return SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getConf=dict, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), setCheckpointDir=lambda where: None))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_dir(session(master))
+    for master in ("local", "local[4]", "local[*]"):
+        assert shared_dir(session(master))
 
 
 def test_encryption(spark):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from packsmith import errors
-from packsmith.functions import chunking, codecs, packages, transforms
+from packsmith.functions import chunking, codecs, packages, race, transforms
 
 rng = random.Random(42)
 ADVERSARIAL = [b"", b"A", b"Z" * 9999, bytes(4096), b"ab" * 6000, b"abc" * 777, bytes(range(256)) * 50, b"some prose that is not periodic at all, but prose", rng.randbytes(3000), rng.randbytes(5001)]
@@ -156,13 +156,18 @@ def test_gear_lines_up_after_an_insertion():
     assert share["gear"] > 0.95 and share["compat"] < 0.2
 
 
-def test_smart_select():
+def test_trials():
     wave = struct.pack("<30000h", *[int(12000 * math.sin(i / 40)) for i in range(30000)])
-    found = packages.smart_select(wave, "audio_wav")
-    assert found["transform"] == "delta16le" and found["est_ratio"] < 0.5
-    assert packages.smart_select(rng.randbytes(60000), "generic")["codec"] == "store"
-    assert packages.smart_select(b"", "text")["transform"] == "none"
-    assert packages.entropy_verdict(b"x" * 5000) == (0.0, "compressible") and packages.entropy_verdict(rng.randbytes(20000))[0] > 7.6
+    rows = race.trials(wave, race.CANDIDATES["audio_wav"])
+    assert [r["transform"] for r in rows] == ["none", "delta16le", "delta8"] and {r["tried"] for r in rows} == {60000}
+    assert min(rows, key=lambda r: r["size"] / r["tried"])["transform"] == "delta16le"
+    text = b"some words and more words " * 6000
+    rows = {r["transform"]: r for r in race.trials(text, race.CANDIDATES["text"])}
+    assert rows["bwt"]["tried"] == race.BWT_SAMPLE and rows["none"]["tried"] == race.SELECT_SAMPLE
+    assert rows["none"]["size"] == len(codecs.compress(text[: race.SELECT_SAMPLE], race.trial_codec(), "fast"))
+    assert rows["pngfilter"]["stride"] == transforms.pick_stride(text[: race.SELECT_SAMPLE])
+    assert "zdict" not in {r["transform"] for r in race.trials(text[:60000], race.CANDIDATES["text"])}
+    assert race.trials(b"", race.CANDIDATES["text"]) == []
 
 
 def test_packages():
@@ -172,8 +177,12 @@ def test_packages():
     assert packages.decode(package, len(data) + 1)[1:] == (data, True)
     assert meta["orig_size"] == len(data)
     text = b"id,name,score\n" + b"".join(b"%d,user%d,%d\n" % (i, i, i * 37 % 101) for i in range(6000))
-    plain, adv = (packages.encode(text, "a.csv", "csv", "fast", advanced=a)[1] for a in (False, True))
-    assert len(adv) <= len(plain) + 60 and packages.decode(adv)[1] == text
+    plain = packages.encode(text, "a.csv", "csv", "fast")[1]
+    for name in race.CANDIDATES["csv"]:
+        adv = packages.encode(text, "a.csv", "csv", "fast", chosen={"transform": name, "codec": "zstd", "stride": 8 if name == "pngfilter" else None})[1]
+        assert len(adv) <= len(plain) + 60 and packages.decode(adv)[1] == text
+    meta, package = packages.encode(rng.randbytes(9000), "a", "generic", "fast", chosen={"transform": "none", "codec": "store", "stride": None})
+    assert meta["codec"] == "store"
     assert packages.dedup_body(b"abc", "zstd", "fast") is None
     body = packages.dedup_body(data, "zstd", "fast", (1024, 4096, 16384))
     assert packages.restore_dedup(body, len(data)) == data
