@@ -92,6 +92,24 @@ def _gzip(data: bytes, cap: int):
         data = decoder.unused_data
 
 
+def _brotli(brotli, data: bytes, cap: int):
+    """Decode a stream, at most a block above the cap at once; without the library's limit, by small steps of input."""
+    decoder = brotli.Decompressor()
+    if hasattr(decoder, "can_accept_more_data"):
+        fed = data
+        while not decoder.is_finished():
+            part = decoder.process(fed, output_buffer_limit=min(BLOCK, cap + 1))
+            if not part and not fed and decoder.can_accept_more_data():
+                raise EOFError("stream is cut")
+            fed = b""
+            yield part
+        return
+    for at in range(0, len(data), 64):
+        yield decoder.process(data[at : at + 64])
+    if not decoder.is_finished():
+        raise EOFError("stream is cut")
+
+
 def decompress(data: bytes, codec: str, cap: int | None = None) -> bytes:
     """Decode; OutputLimitError as soon as more than the cap would come out, CorruptPackageError where the data is damaged."""
     codec, limit = codec.lower(), resolve_cap(cap, len(data))
@@ -107,7 +125,7 @@ def decompress(data: bytes, codec: str, cap: int | None = None) -> bytes:
                 raise EOFError("frame is cut")
             return out
         if codec == "brotli" and (brotli := _module("brotli")):
-            return _limited([brotli.decompress(data)], limit)
+            return _limited(_brotli(brotli, data, limit), limit)
         if codec == "lzma":
             return _limited(_members(lzma.LZMADecompressor, data, limit), limit)
         if codec == "bz2":

@@ -167,3 +167,9 @@ def resolve_cap(cap: Column, compressed: Column) -> Column:
 def verdict(entropy: Column) -> Column:
     """What the entropy of the bytes says, on its unrounded value."""
     return F.when(entropy <= 6.5, "compressible").when(entropy >= 7.6, "incompressible").otherwise("marginal")
+
+
+def joined_bytes(parts: Column) -> Column:
+    """The values of an array of binaries, one after the other: each byte is copied a fixed number of times, however many parts there
+    are. As Latin-1 every byte is one character, so that text functions can join them."""
+    return F.encode(F.array_join(F.transform(parts, lambda p: F.decode(p, "ISO-8859-1")), ""), "ISO-8859-1")

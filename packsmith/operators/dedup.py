@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from packsmith.functions.arrow import in_batches, items_of
 from packsmith.functions.chunking import AVG_CHUNK, MAX_CHUNK, MIN_CHUNK, boundaries
+from packsmith.functions.scalars import joined_bytes
 
 CHUNK_SCHEMA = "item_id bigint, seq int, pos bigint, len int, data binary"
 
@@ -86,7 +87,7 @@ def restore(order: DataFrame, blobs: DataFrame, ids: DataFrame | None = None) ->
     """
     found = order.join(blobs.select("sha", F.col("data").alias("blob")), "sha", "left")
     grouped = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("seq", "blob"))).alias("parts"), F.bool_or(F.col("blob").isNull()).alias("lost"))
-    whole = F.aggregate("parts", F.encode(F.lit(""), "UTF-8"), lambda a, p: F.concat(a, p["blob"]))
+    whole = joined_bytes(F.transform("parts", lambda p: p["blob"]))
     out = grouped.select("item_id", F.when(~F.col("lost"), whole).alias("content"), F.when(F.col("lost"), "CorruptPackageError").alias("error_class"))
     if ids is not None:
         out = ids.select("item_id").distinct().join(out, "item_id", "left")
@@ -94,23 +95,55 @@ def restore(order: DataFrame, blobs: DataFrame, ids: DataFrame | None = None) ->
     return out
 
 
-class BlobStore:
-    """A content-addressed table (sha, codec, data) in Parquet, partitioned by the first byte of the hash; the first writer wins."""
+BLOB_SCHEMA = "sha string, codec string, data binary, prefix string"
+
+
+class FolderBackend:
+    """Blobs as Parquet files in a folder, by the first digit of the hash."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def read(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], BLOB_SCHEMA)
+        return self.spark.read.schema(BLOB_SCHEMA).parquet(self.path)
+
+    def append(self, blobs: DataFrame) -> None:
+        blobs.write.mode("append").partitionBy("prefix").parquet(self.path)
+
+
+class TableBackend:
+    """Blobs as a table of the session's catalog, by the first digit of the hash."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name = spark, name
+
+    def read(self) -> DataFrame:
+        found = self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else self.spark.createDataFrame([], BLOB_SCHEMA)
+        return found.select("sha", "codec", "data", "prefix")
+
+    def append(self, blobs: DataFrame) -> None:
+        blobs.write.mode("append").partitionBy("prefix").saveAsTable(self.name)
+
+
+class BlobStore:
+    """A content-addressed store of (sha, codec, data); the first writer wins. The backend is a path, or anything that has read() and
+    append(blobs) on tables of BLOB_SCHEMA."""
+
+    def __init__(self, spark: SparkSession, backend) -> None:
+        self.spark = spark
+        self.backend = FolderBackend(spark, backend) if isinstance(backend, str) else backend
+
     def table(self) -> DataFrame:
-        schema = "sha string, codec string, data binary, prefix string"
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.backend.read()
 
     def put(self, blobs: DataFrame, codec: str = "store") -> None:
         """Add the blobs (sha, data) that are not there; of equal ones in the batch, one."""
-        own = blobs.select("sha", F.lit(codec).alias("codec"), "data", F.substring("sha", 1, 2).alias("prefix")).dropDuplicates(["sha"])
-        own.join(self.table().select("sha"), "sha", "left_anti").write.mode("append").partitionBy("prefix").parquet(self.path)
+        own = blobs.select("sha", F.lit(codec).alias("codec"), "data", F.substring("sha", 1, 1).alias("prefix"))
+        # Dealt by prefix before it is written, or every task would leave a file in every folder.
+        self.backend.append(own.join(self.table().select("sha"), "sha", "left_anti").dropDuplicates(["sha"]).repartition("prefix"))
 
     def get(self, shas: DataFrame) -> DataFrame:
         """sha, data and found for every asked hash."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packsmith.operators.dedup import first_pieces
+from packsmith.operators.dedup import first_pieces, restore
 
 
 def new_pieces(base: DataFrame, new: DataFrame) -> DataFrame:
-    """The first piece of each hash that the base does not have; the base's side is its distinct hashes only."""
-    return first_pieces(new).join(base.select("sha").distinct(), "sha", "left_anti")
+    """The first piece of each hash that the base does not have. What the base has goes first, by its distinct hashes; the rest is
+    already dealt by hash when its first pieces are taken."""
+    return first_pieces(new.join(base.select("sha").distinct(), "sha", "left_anti"))
 
 
 def delta_stats(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,10 +33,8 @@ def create_delta(base: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
 def apply_delta(base: DataFrame, order: DataFrame, blobs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Restore the new version: a blob of the delta wins over the base; a hash in neither gives an error_class."""
     own = blobs.select("sha", F.col("data").alias("own"))
-    old = first_pieces(base).select("sha", F.col("data").alias("old")).join(order.select("sha").distinct(), "sha", "left_semi")
+    old = first_pieces(base.join(order.select("sha").distinct(), "sha", "left_semi")).select("sha", F.col("data").alias("old"))
     both = own.join(old, "sha", "full_outer").select("sha", F.coalesce("own", "old").alias("data"))
-    from packsmith.operators.dedup import restore
-
     return restore(order, both, ids)
 
 

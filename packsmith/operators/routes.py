@@ -109,11 +109,11 @@ def apply_package(base: bytes, package: bytes, cap: int | None = None, sizes: tu
     return whole
 
 
-def delta_packages(pairs: DataFrame, mode: str = "balanced") -> DataFrame:
+def delta_packages(pairs: DataFrame, mode: str = "balanced", sizes: tuple[int, int, int] = (MIN_CHUNK, AVG_CHUNK, MAX_CHUNK)) -> DataFrame:
     """Rows (item_id, base, new) -> item_id, package, new_chunks, total_chunks, reused_chunks."""
 
     def one(item, base, new):
-        package = delta_package(base or b"", new or b"", mode=mode)
+        package = delta_package(base or b"", new or b"", mode=mode, sizes=sizes)
         meta, _ = packages.parse(package)
         return item, package, meta["new_chunks"], meta["total_chunks"]
 
@@ -121,12 +121,12 @@ def delta_packages(pairs: DataFrame, mode: str = "balanced") -> DataFrame:
     return made.withColumn("reused_chunks", F.col("total_chunks") - F.col("new_chunks"))
 
 
-def applied_packages(pairs: DataFrame, cap: int | None = None) -> DataFrame:
+def applied_packages(pairs: DataFrame, cap: int | None = None, sizes: tuple[int, int, int] = (MIN_CHUNK, AVG_CHUNK, MAX_CHUNK)) -> DataFrame:
     """Rows (item_id, base, package) -> item_id, content, error_class."""
 
     def one(item, base, package):
         try:
-            return item, apply_package(base or b"", package or b"", cap), None
+            return item, apply_package(base or b"", package or b"", cap, sizes), None
         except errors.PackError as e:
             return item, None, type(e).__name__
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from packsmith.functions.chunking import GEAR, WINDOW
 from packsmith.functions.scalars import EXTENSIONS, STEPS
-from packsmith.plans.constants import CHUNKS
+from packsmith.plans.constants import CHUNKS, SHELF
 
 _DOC = "SELECT doc_id AS item_id, coalesce(text, '') AS t FROM documents"
 _BYTES = f"""docs AS ({_DOC}), hexed AS (SELECT item_id, hex(encode(t)) AS h FROM docs),
@@ -99,7 +100,48 @@ TAMPERED = "SELECT doc_id, unnest(['body', 'header', 'magic', 'cut', 'cap']) AS
 ENCRYPTED = "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, true AS ok, 'PasswordError' AS wrong_key FROM documents"
 HEADERS = "SELECT doc_id, 2 AS v, 'text' AS kind, octet_length(encode(coalesce(text, '')))::BIGINT AS orig_size, CAST(NULL AS VARCHAR) AS error_class FROM documents"
 BLOBS = """WITH l AS (SELECT DISTINCT item_id % 2 AS half, sha256(x) AS sha FROM (SELECT doc_id AS item_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents))
-SELECT (SELECT count(DISTINCT sha) FROM l WHERE half = 0) AS stored, (SELECT count(DISTINCT sha) FROM l WHERE half = 1) AS asked, (SELECT count(*) FROM l a JOIN l b ON a.sha = b.sha WHERE a.half = 0 AND b.half = 1) AS found"""
+SELECT (SELECT count(DISTINCT sha) FROM l WHERE half = 0) AS stored, (SELECT count(DISTINCT sha) FROM l WHERE half = 1) AS asked, (SELECT count(*) FROM l a JOIN l b ON a.sha = b.sha WHERE a.half = 0 AND b.half = 1) AS found, (SELECT count(*) FROM l a JOIN l b ON a.sha = b.sha WHERE a.half = 0 AND b.half = 1) AS contained"""
 MEMBERS = "SELECT lang, count(*) AS members, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, true AS same FROM documents GROUP BY lang"
 BENCH = "SELECT lang, m AS mode, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS orig, true AS verified FROM documents, (SELECT unnest(['fast', 'balanced']) AS m) GROUP BY ALL"
-XOR_WITH = f"WITH {_BYTES} SELECT d.item_id AS doc_id, coalesce(n, 0) AS n, coalesce(z, true) AS zero FROM docs d LEFT JOIN (SELECT item_id, count(*) AS n, bool_and(xor(v, v) = 0) AS z FROM bytes GROUP BY item_id) USING (item_id)"
+XOR_REVERSED = f"""WITH {_BYTES}, sizes AS (SELECT item_id, count(*) AS m FROM bytes GROUP BY item_id),
+enc AS (SELECT item_id, {_HEXED} FROM (SELECT a.item_id, a.p, xor(a.v, b.v) AS e FROM bytes a JOIN sizes z USING (item_id) JOIN bytes b ON b.item_id = a.item_id AND b.p = z.m + 1 - a.p) GROUP BY item_id) {_DIGEST}"""
+_AVERAGE_BITS = _AVERAGE.bit_length() - 1
+_STATE = " + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}::UBIGINT" for k in range(WINDOW))
+_GEAR_CUTS = _CHUNKS.replace(
+    _CHUNKS[_CHUNKS.index("marks AS") : _CHUNKS.index("cuts(")],
+    f"""gears AS (SELECT item_id, p, [{", ".join(map(str, GEAR.tolist()))}][v + 1]::UBIGINT AS g, count(*) OVER (PARTITION BY item_id) AS n FROM bytes),
+prefix AS (SELECT item_id, p, n, (({_STATE}) & 4294967295::UBIGINT) >> {32 - _AVERAGE_BITS} AS r FROM gears WINDOW w AS (PARTITION BY item_id ORDER BY p)),
+""",
+).replace(f"(({_rotl('xor(p.r, c.r0)', '(p.p * 5) % 32')}) & {_AVERAGE - 1}) = 0", "p.r = 0")
+_GEAR_SHA = _CDC_SHA.replace(_CHUNKS, _GEAR_CUTS)
+GEAR_STATS = CDC_STATS.replace(_CDC_SHA, _GEAR_SHA)
+_SHELVES = f"shelves AS (SELECT concat(coalesce(lang, 'none'), '-', doc_id // {SHELF}) AS shelf, count(*) AS members, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)"
+BEST = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS orig, 5 AS codecs, true AS bounded, true AS smallest, CASE WHEN coalesce(text, '') = '' THEN 'store' END AS empty_codec FROM documents"
+RACED = f"""WITH {_BYTES}, {_SHELVES}, cut AS (SELECT shelf, octet_length(encode(t))::BIGINT AS size FROM shelves),
+placed AS (SELECT item_id, shelf, sum(n) OVER (PARTITION BY shelf ORDER BY item_id) - n AS before FROM (SELECT doc_id AS item_id, concat(coalesce(lang, 'none'), '-', doc_id // {SHELF}) AS shelf, octet_length(encode(coalesce(text, ''))) AS n FROM documents)),
+freq AS (SELECT shelf, v, count(*)::DOUBLE AS c FROM bytes JOIN placed USING (item_id) WHERE before + p <= 131072 GROUP BY ALL),
+ent AS (SELECT shelf, -sum(c / n * log2(c / n)) AS h FROM (SELECT shelf, c, sum(c) OVER (PARTITION BY shelf) AS n FROM freq) GROUP BY shelf)
+SELECT concat(shelf, '.txt') AS path, 'text' AS kind, size, round(coalesce(e.h, 0.0), 3) AS entropy, {_VERDICT.replace('h ', 'coalesce(e.h, 0.0) ')} AS verdict,
+  CASE WHEN size = 0 OR e.h >= 7.6 THEN '' WHEN size >= 65536 THEN 'bwt,delta8,none,pngfilter,xor8,zdict' ELSE 'bwt,delta8,none,pngfilter,xor8' END AS tried, true AS least
+FROM cut LEFT JOIN ent e USING (shelf)"""
+ADVANCED = f"WITH {_SHELVES} SELECT concat(shelf, '.txt') AS path, 'text' AS kind, octet_length(encode(t))::BIGINT AS orig, true AS smaller, sha256(t) AS sha256, 'PASS' AS verdict FROM shelves"
+PACKED_MANY = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'balanced' ELSE 'max' END AS mode, octet_length(encode(coalesce(text, '')))::BIGINT AS orig, sha256(coalesce(text, '')) AS sha256, true AS verified, CAST(NULL AS VARCHAR) AS error_class FROM documents"
+TARGET_SIZE = "SELECT doc_id, 'zstd' AS wide_codec, true AS wide_hit, false AS tight_hit FROM documents"
+RATIOS = """WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS orig, (length(coalesce(text, '')) // 2)::BIGINT AS new FROM documents)
+SELECT doc_id, orig, new, CASE WHEN orig > 0 THEN round(new::DOUBLE / orig, 4) ELSE 0.0 END AS ratio, CASE WHEN orig > 0 THEN round((1 - new::DOUBLE / orig) * 100, 2) ELSE 0.0 END AS saved_pct,
+  new <= greatest(1, trunc(orig * CASE WHEN doc_id % 2 = 0 THEN 0.6::DOUBLE ELSE 0.05::DOUBLE END)) AS hit_target FROM d"""
+BENCH_LINES = f"WITH {_SHELVES} SELECT concat(shelf, '.txt') AS path, 'fast      ' AS mode, 'true' AS verified FROM shelves"
+ADMITTED = "SELECT doc_id, octet_length(encode(coalesce(text, ''))) <= 2048 AS admitted, CASE WHEN octet_length(encode(coalesce(text, ''))) > 2048 THEN 'OutputLimitError' END AS error_class FROM documents"
+FILES = f"WITH {_SHELVES} SELECT shelf, octet_length(encode(t))::BIGINT + 1 AS length, sha256(t || chr(10)) AS sha256 FROM shelves"
+DIRECTORIES = f"""SELECT concat(coalesce(lang, 'none'), '-', doc_id // {SHELF}) AS dir, 'PASS' AS verdict, count(*) AS members, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes,
+  sha256(string_agg(coalesce(text, ''), '' ORDER BY concat(doc_id, '.txt'))) AS sha256 FROM documents GROUP BY 1"""
+ROUTED = """SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'image' ELSE 'v1' END AS auto_route, CASE doc_id % 6 WHEN 1 THEN 'UnsupportedCodecError' END AS auto_error,
+  CASE doc_id % 6 WHEN 1 THEN 'image' WHEN 4 THEN 'audio_wav' WHEN 5 THEN 'pdf' ELSE 'v2' END AS best_route, CASE WHEN doc_id % 6 IN (1, 4, 5) THEN 'UnsupportedCodecError' END AS best_error FROM documents"""
+DELTA_PACKAGES = f"""WITH RECURSIVE {_CDC_SHA}, counts AS (SELECT item_id, count(*)::INT AS total_chunks, count(DISTINCT sha) FILTER (WHERE NOT known)::INT AS new_chunks
+  FROM (SELECT s.item_id, s.sha, EXISTS (SELECT 1 FROM shas b WHERE b.item_id = s.item_id - 1 AND b.sha = s.sha) AS known FROM shas s) GROUP BY item_id)
+SELECT d.doc_id, coalesce(new_chunks, 0)::INT AS new_chunks, coalesce(total_chunks, 0)::INT AS total_chunks, (coalesce(total_chunks, 0) - coalesce(new_chunks, 0))::INT AS reused_chunks, sha256(coalesce(d.text, '')) AS sha256, CAST(NULL AS VARCHAR) AS error_class, 'BaseMismatchError' AS wrong_base
+FROM documents d JOIN documents b ON b.doc_id = d.doc_id - 1 LEFT JOIN counts c ON c.item_id = d.doc_id WHERE d.doc_id % 2 = 1"""
+DEDUP_PACKAGES = f"""WITH RECURSIVE {_CDC_SHA}, counts AS (SELECT item_id, count(*) AS chunks, count(DISTINCT sha) AS blobs FROM shas GROUP BY item_id HAVING count(*) > 1)
+SELECT doc_id, chunks, blobs, CASE WHEN chunks IS NOT NULL THEN sha256(coalesce(text, '')) END AS sha256 FROM documents LEFT JOIN counts ON item_id = doc_id"""
+DICTIONARIES = f"""WITH {_SHELVES}, sized AS (SELECT shelf, t, octet_length(encode(t))::BIGINT AS size FROM shelves)
+SELECT concat(shelf, '.txt') AS path, size, CASE WHEN size < 32768 THEN 0 ELSE len(list_filter(range(24), lambda k: k * greatest(1, (size - 4096) // 24) + 4096 <= size)) END::BIGINT AS slices, CASE WHEN size >= 32768 THEN sha256(t) END AS sha256 FROM sized"""

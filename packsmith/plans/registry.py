@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -12,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsmith.functions import scalars, transforms
+from packsmith.functions import packages, scalars, transforms
 from packsmith.functions.arrow import in_batches, items_of
-from packsmith.operators import dedup, delta, pack, profile
+from packsmith.operators import dedup, delta, pack, profile, routes
 from packsmith.plans import oracles
 from packsmith.plans.constants import CHUNKS, SHELF
 from packsmith.session import scratch, spread, stored, table
@@ -129,7 +130,7 @@ def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of even documents are stored twice, those of odd ones asked for."""
+    """Lines of even documents are stored twice, those of odd ones asked for, with their bytes and without."""
     lines = dedup.lines(_docs(spark, sf_dir))
     store = dedup.BlobStore(spark, scratch(spark, "blobs"))
     even = lines.where("item_id % 2 = 0")
@@ -137,7 +138,8 @@ def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.put(even)
     asked = lines.where("item_id % 2 = 1").select("sha").distinct()
     found = store.get(asked).agg(F.count("*").alias("asked"), F.count(F.when(F.col("found"), 1)).alias("found"))
-    return found.crossJoin(store.table().agg(F.count("*").alias("stored"))).select("stored", "asked", "found")
+    known, held = store.contains(asked).count(), store.count()
+    return found.select(F.lit(held).cast("bigint").alias("stored"), "asked", "found", F.lit(known).cast("bigint").alias("contained"))
 
 
 def _digest(docs: DataFrame, name: str) -> DataFrame:
@@ -179,13 +181,15 @@ def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_docs(spark, sf_dir).select("item_id", "content")).mapInArrow(rows, "doc_id bigint, transform string, size bigint, sha256 string")
 
 
-def xor_with_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+def xor_with_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's bytes with the same bytes from the end."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [transforms.xor_with(d or b"", d or b"") for d in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(o) for o in out], pa.int64()), pa.array([not any(o) for o in out], pa.bool_())], names=["doc_id", "n", "zero"])
+            out = [transforms.xor_with(d or b"", (d or b"")[::-1]) for d in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(o) for o in out], pa.int64()), pa.array([hashlib.sha256(o.hex().encode()).hexdigest() for o in out])], names=["doc_id", "n", "sha256"])
 
-    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, n bigint, zero boolean")
+    return _docs(spark, sf_dir).select("item_id", "content").mapInArrow(rows, "doc_id bigint, n bigint, sha256 string")
 
 
 def png_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,25 +238,145 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.best_codec(pack.codec_sizes(_docs(spark, sf_dir)))
+    """The smallest codec: never above the bytes themselves, nor above any other codec's size; the bytes themselves for nothing."""
+    sizes = stored(pack.codec_sizes(_docs(spark, sf_dir)), "sizes")
+    least = sizes.groupBy("item_id").agg(F.min("new").alias("least"), F.count("*").alias("codecs"))
+    best = pack.best_codec(sizes).join(least, "item_id")
+    return best.select(F.col("item_id").alias("doc_id"), "orig", "codecs", (F.col("new") <= F.col("orig")).alias("bounded"), (F.col("new") == F.col("least")).alias("smallest"), F.when(F.col("orig") == 0, F.col("codec")).alias("empty_codec"))
 
 
 def smart_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.analyse(_grouped(spark, sf_dir))
+    """Joined documents through the race: all candidates of their kind and size are tried, and the winner has the least ratio."""
+    found = pack.analyse(_grouped(spark, sf_dir), ["path"])
+    least = F.array_min(F.map_values("tests"))
+    return found.select("path", "kind", "size", "entropy", "verdict", F.array_join(F.array_sort(F.map_keys("tests")), ",").alias("tried"), (F.col("est_ratio") == F.coalesce(least, F.lit(1.0))).alias("least"))
 
 
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents packed, certified and restored."""
+    """Documents packed, then certified and restored in one pass over the packages."""
     packed = stored(pack.pack(_docs(spark, sf_dir), verify=False), "packed")
-    certs = pack.certify(packed).select(F.col("pkg_id").alias("item_id"), "verdict")
-    back = pack.unpack(packed).select(F.col("pkg_id").alias("item_id"), "kind", F.col("size").alias("orig_size"), "sha256", "verified")
-    return back.join(certs, "item_id").select(F.col("item_id").alias("doc_id"), "kind", "orig_size", "sha256", "verdict", "verified")
+    return pack.opened(packed).select(F.col("pkg_id").alias("doc_id"), "kind", F.col("size").alias("orig_size"), "sha256", "verdict", "verified")
 
 
 def container_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined documents, packed with dedup and transforms in the race."""
-    packed = pack.pack(_grouped(spark, sf_dir), mode="fast", advanced=True, chunk_sizes=(4096, 16384, 65536))
-    return pack.pack_stats(packed).join(packed.select("item_id", "verified"), "item_id")
+    """Joined documents, packed with dedup and transforms in the race, and restored."""
+    grouped = _grouped(spark, sf_dir)
+    packed = stored(pack.pack(grouped, mode="fast", advanced=True, chunk_sizes=(4096, 16384, 65536)), "packed")
+    back = pack.opened(packed).select(F.col("pkg_id").alias("item_id"), "sha256", "verdict")
+    stats = pack.pack_stats(packed).select("item_id", "kind", "orig", (F.col("new") < F.col("orig")).alias("smaller"))
+    return stats.join(back, "item_id").join(grouped.select("item_id", "path"), "item_id").select("path", "kind", "orig", "smaller", "sha256", "verdict")
+
+
+def pack_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed at once, each in its own mode."""
+    mode = F.element_at(F.array(F.lit("fast"), F.lit("balanced"), F.lit("max")), (F.col("item_id") % 3 + 1).cast("int"))
+    packed = pack.pack(_docs(spark, sf_dir), mode=mode)
+    return packed.select(F.col("item_id").alias("doc_id"), "mode", "orig", "sha256", "verified", "error_class")
+
+
+def target_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target that any package meets, and one that none does."""
+    docs = _docs(spark, sf_dir)
+    wide = pack.pack_to_target(docs, 1 << 30).select(F.col("item_id").alias("doc_id"), F.col("codec").alias("wide_codec"), F.col("hit_target").alias("wide_hit"))
+    tight = pack.pack_to_target(docs, 1).select(F.col("item_id").alias("doc_id"), F.col("hit_target").alias("tight_hit"))
+    return wide.join(tight, "doc_id")
+
+
+def ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of characters to bytes, and whether they meet the modes' targets."""
+    text, mode = F.col("content").cast("string"), F.when(F.col("item_id") % 2 == 0, "fast").otherwise("ultra")
+    docs = _docs(spark, sf_dir).select("item_id", F.col("length").alias("orig"), (F.char_length(text) / 2).cast("bigint").alias("new"), mode.alias("mode"))
+    hit = F.col("new") <= scalars.target_for_mode(F.col("orig"), F.col("mode"))
+    return docs.select(F.col("item_id").alias("doc_id"), scalars.ratio_stats(F.col("orig"), F.col("new")).alias("s"), hit.alias("hit_target")).select("doc_id", "s.*", "hit_target")
+
+
+def benchmark_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows as lines of fixed width."""
+    grouped = _grouped(spark, sf_dir)
+    lines = pack.benchmark_lines(pack.benchmark(grouped, ["fast"])).join(grouped.select("item_id", "path"), "item_id")
+    return lines.select("path", F.substring("line", 1, 10).alias("mode"), F.substring("line", 68, 10).alias("verified"))
+
+
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents within 2 KiB, and the rejected ones."""
+    good, bad = items.admitted(_docs(spark, sf_dir), 2048)
+    return good.select("item_id", F.lit(True).alias("admitted"), F.lit(None).cast("string").alias("error_class")).unionByName(bad.select("item_id", F.lit(False).alias("admitted"), "error_class")).withColumnRenamed("item_id", "doc_id")
+
+
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shelves written as files in folders, and scanned again."""
+    path = scratch(spark, "files")
+    items.grouped_items(_shelved(spark, sf_dir), "shelf").select(F.col("path").alias("shelf"), F.col("content").cast("string").alias("value")).write.partitionBy("shelf").text(path)
+    found = items.file_items(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", "shelf=([^/]+)/", 1).alias("shelf"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def directory_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shelf as a folder: one package of all its files, restored and read member by member."""
+    docs = _shelved(spark, sf_dir).withColumn("path", F.concat("shelf", F.lit("/"), "path"))
+    tars = routes.directories(docs)
+    back = pack.opened(pack.pack(tars, mode="fast", allow_dedup=False)).select(F.col("pkg_id").alias("item_id"), "content", "verdict").join(tars.select("item_id", "path"), "item_id")
+    schema = pa.schema([("dir", pa.string()), ("verdict", pa.string()), ("members", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, verdict, data in items_of(batches, ["path", "verdict", "content"]):
+            with tarfile.open(fileobj=io.BytesIO(data)) as archive:
+                parts = [archive.extractfile(m).read() for m in archive.getmembers()]
+            yield path.removesuffix(".tar"), verdict, len(parts), sum(map(len, parts)), hashlib.sha256(b"".join(parts)).hexdigest()
+
+    return back.select("path", "verdict", "content").mapInArrow(lambda batches: in_batches(members(batches), schema), "dir string, verdict string, members bigint, bytes bigint, sha256 string")
+
+
+def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under names of six kinds, routed by request and by kind."""
+    ends = F.array(*map(F.lit, [".txt", ".png", ".csv", ".json", ".wav", ".pdf"]))
+    docs = _docs(spark, sf_dir).withColumn("path", F.concat(F.col("item_id").cast("string"), F.element_at(ends, (F.col("item_id") % 6 + 1).cast("int"))))
+    auto = routes.pack_auto(docs, "fast", lossless=False).select("item_id", F.col("route").alias("auto_route"), F.col("error_class").alias("auto_error"))
+    better = routes.optimise(docs).select("item_id", F.col("route").alias("best_route"), F.col("error_class").alias("best_error"))
+    return auto.join(better, "item_id").withColumnRenamed("item_id", "doc_id")
+
+
+def delta_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each odd document as a delta to the one before: made, applied, and refused with another base."""
+    docs = _docs(spark, sf_dir).select("item_id", F.col("content").alias("data"))
+    pairs = docs.where("item_id % 2 = 1").withColumnRenamed("data", "new").join(docs.select((F.col("item_id") + 1).alias("item_id"), F.col("data").alias("base")), "item_id")
+    made = stored(routes.delta_packages(pairs, "fast", CHUNKS).join(pairs.select("item_id", "base"), "item_id"), "deltas")
+    back = routes.applied_packages(made, sizes=CHUNKS).select("item_id", F.sha2("content", 256).alias("sha256"), "error_class")
+    wrong = routes.applied_packages(made.withColumn("base", F.concat("base", F.lit(b"!"))), sizes=CHUNKS).select("item_id", F.col("error_class").alias("wrong_base"))
+    return made.select("item_id", "new_chunks", "total_chunks", "reused_chunks").join(back, "item_id").join(wrong, "item_id").withColumnRenamed("item_id", "doc_id")
+
+
+def dedup_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a body of distinct chunks with a manifest (none for a single chunk), read and restored."""
+    schema = pa.schema([("doc_id", pa.int64()), ("chunks", pa.int64()), ("blobs", pa.int64()), ("sha256", pa.string())])
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            body = packages.dedup_body(data or b"", "zstd", "fast", CHUNKS)
+            if body is None:
+                yield item, None, None, None
+            else:
+                manifest, blobs = packages.unpack_blobs(body)
+                yield item, len(manifest["order"]), len(blobs), hashlib.sha256(packages.restore_dedup(body, len(data) + 1)).hexdigest()
+
+    return spread(_docs(spark, sf_dir).select("item_id", "content")).mapInArrow(lambda batches: in_batches(bodies(batches), schema), "doc_id bigint, chunks bigint, blobs bigint, sha256 string")
+
+
+def dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined documents: slices taken, a dictionary trained on them, and the whole compressed with it and restored."""
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("slices", pa.int64()), ("sha256", pa.string())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, data in items_of(batches, ["path", "content"]):
+            slices = transforms.pick_slices(data)
+            found = transforms.train_dictionary(slices)
+            if found is None:
+                yield path, len(data), len(slices), None
+            else:
+                dictionary, frame = transforms.unpack_dictionary(transforms.pack_dictionary(found, transforms.dict_compress(data, found)))
+                yield path, len(data), len(slices), hashlib.sha256(transforms.dict_decompress(frame, dictionary, len(data))).hexdigest()
+
+    return _grouped(spark, sf_dir).select("path", "content").mapInArrow(lambda batches: in_batches(both(batches), schema), "path string, size bigint, slices bigint, sha256 string")
 
 
 def container_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +451,10 @@ QUERIES = {
     for f in (
         profile_documents, entropy_by_source, byte_histogram, profile_pages_kind, size_format, mode_targets, parse_sizes, filename_hygiene,
         dedup_exact_documents, dedup_lines, cdc_chunks_documents, cdc_dedup_stats, cdc_gear_stats, manifest_restore, delta_create, delta_apply,
-        blob_store, delta8_encode, xor8_encode, delta16_encode, transform_roundtrip, xor_with_self, png_stride, png_row_filter, bwt_part_names,
+        blob_store, delta8_encode, xor8_encode, delta16_encode, transform_roundtrip, xor_with_reversed, png_stride, png_row_filter, bwt_part_names,
         codec_roundtrip, best_codec, smart_select, container_roundtrip, container_advanced, container_v1, container_headers, tamper_detected,
-        encrypt_roundtrip, benchmark_modes, zip_recompress,
+        encrypt_roundtrip, benchmark_modes, zip_recompress, pack_many, target_size, ratio_report, benchmark_table, size_gate, file_scan,
+        directory_roundtrip, routing, delta_packages, dedup_packages, dictionary_roundtrip,
     )
 }
 ORACLES = {
@@ -353,7 +478,7 @@ ORACLES = {
     "xor8_encode": oracles.XOR8,
     "delta16_encode": oracles.DELTA16,
     "transform_roundtrip": oracles.TRANSFORMS,
-    "xor_with_self": oracles.XOR_WITH,
+    "xor_with_reversed": oracles.XOR_REVERSED,
     "png_stride": oracles.STRIDE,
     "png_row_filter": oracles.PNG_ROWS,
     "bwt_part_names": oracles.BWT,
@@ -365,4 +490,19 @@ ORACLES = {
     "encrypt_roundtrip": oracles.ENCRYPTED,
     "benchmark_modes": oracles.BENCH,
     "zip_recompress": oracles.MEMBERS,
+    "cdc_gear_stats": oracles.GEAR_STATS,
+    "best_codec": oracles.BEST,
+    "smart_select": oracles.RACED,
+    "container_advanced": oracles.ADVANCED,
+    "pack_many": oracles.PACKED_MANY,
+    "target_size": oracles.TARGET_SIZE,
+    "ratio_report": oracles.RATIOS,
+    "benchmark_table": oracles.BENCH_LINES,
+    "size_gate": oracles.ADMITTED,
+    "file_scan": oracles.FILES,
+    "directory_roundtrip": oracles.DIRECTORIES,
+    "routing": oracles.ROUTED,
+    "delta_packages": oracles.DELTA_PACKAGES,
+    "dedup_packages": oracles.DEDUP_PACKAGES,
+    "dictionary_roundtrip": oracles.DICTIONARIES,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -41,10 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="packsmith-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(base)
@@ -84,11 +87,3 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     unit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return df.repartition(per_core * cores) if size < cores * unit else df
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", limit: int = 1_000_000) -> DataFrame:
-    """Rows of docs whose id is not in ids (distinct, non-null). The ids are broadcast only when counted below limit."""
-    ids = ids.select(F.col(id_col).alias("__id"))
-    small = ids.limit(limit + 1).count() <= limit
-    side = F.broadcast(ids) if small else ids
-    return docs.join(side, docs[id_col] == F.col("__id"), "left_anti")

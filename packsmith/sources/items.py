@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packsmith.functions.scalars import joined_bytes
+
 ITEM_COLUMNS = ["item_id", "path", "content", "length"]
 
 
@@ -33,7 +35,7 @@ def file_items(spark: SparkSession, path: str, glob: str | None = None, recursiv
 def grouped_items(items: DataFrame, by: str) -> DataFrame:
     """Items of one group joined in the order of their ids; for groups of bounded size, as each becomes one value."""
     parts = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("item_id", "content"))).alias("parts"))
-    content = F.aggregate("parts", F.encode(F.lit(""), "UTF-8"), lambda whole, part: F.concat(whole, part["content"]))
+    content = joined_bytes(F.transform("parts", lambda part: part["content"]))
     return parts.select(F.xxhash64(by).alias("item_id"), F.col(by).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
 
 
