@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import bz2
+import gzip
+import io
 import lzma
+import os
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from packsmith.errors import CorruptPackageError, OutputLimitError, UnsupportedCodecError
 from packsmith.functions.scalars import AUTO_CAP_BYTES, AUTO_CAP_RATIO
@@ -139,6 +144,83 @@ def decompress(data: bytes, codec: str, cap: int | None = None) -> bytes:
     raise UnsupportedCodecError(f"unknown codec: {codec}")
 
 
+class _Parts(io.RawIOBase):
+    """An iterator of bytes as a file to read."""
+
+    def __init__(self, parts: Iterable[bytes]) -> None:
+        self.parts, self.rest = iter(parts), memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.rest:
+            if (part := next(self.parts, None)) is None:
+                return 0
+            self.rest = memoryview(part)
+        n = min(len(room), len(self.rest))
+        room[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def compress_stream(parts: Iterable[bytes], codec: str = "auto", mode: str = "balanced") -> Iterator[bytes]:
+    """The parts of a stream, compressed as they come; what is held does not grow with the stream."""
+    codec = available_codecs()[0] if codec.lower() == "auto" else codec.lower()
+    if codec == "store":
+        yield from map(bytes, parts)
+        return
+    if codec == "zstd":
+        packer = _module("zstandard").ZstdCompressor(level=ZSTD_LEVEL.get(mode, 12)).compressobj()
+    elif codec == "lzma":
+        preset = LZMA_PRESET.get(mode, 6)
+        packer = lzma.LZMACompressor(filters=[{"id": lzma.FILTER_LZMA2, "preset": preset, "dict_size": LZMA_DICTIONARY[preset]}])
+    elif codec == "bz2":
+        packer = bz2.BZ2Compressor(9)
+    elif codec == "gzip":
+        packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    else:
+        raise UnsupportedCodecError(f"{codec} is not streamed")
+    yield from filter(None, map(packer.compress, parts))
+    yield packer.flush()
+
+
+def _zstd_blocks(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """Frames without a size do not tell a cut, so a frame of random bytes is put behind them: it comes out last, or the stream was cut."""
+    zstd, mark = _module("zstandard"), os.urandom(16)
+    source = io.BufferedReader(_Parts(chain(parts, [zstd.ZstdCompressor().compress(mark)])), BLOCK)
+    reader, held = zstd.ZstdDecompressor().stream_reader(source, read_across_frames=True), b""
+    while part := reader.read(BLOCK):
+        held += part
+        if len(held) > len(mark):
+            yield held[: -len(mark)]
+            held = held[-len(mark) :]
+    if held != mark:
+        raise EOFError("stream is cut")
+
+
+def decompress_stream(parts: Iterable[bytes], codec: str, cap: int) -> Iterator[bytes]:
+    """The stream decoded a block at a time; the same errors as decompress, the cap's as soon as it is passed."""
+    codec, size = codec.lower(), 0
+    files = {"store": lambda source: source, "lzma": lzma.LZMAFile, "bz2": bz2.BZ2File, "gzip": lambda source: gzip.GzipFile(fileobj=source)}
+    if codec != "zstd" and codec not in files:
+        raise UnsupportedCodecError(f"{codec} is not streamed")
+    try:
+        if codec == "zstd":
+            blocks = _zstd_blocks(parts)
+        else:
+            reader = files[codec](io.BufferedReader(_Parts(parts), BLOCK))
+            blocks = iter(lambda: reader.read(BLOCK), b"")
+        for part in blocks:
+            size += len(part)
+            if size > cap:
+                raise OutputLimitError(f"output exceeds {cap} bytes")
+            yield part
+    except OutputLimitError:
+        raise
+    except Exception as e:
+        raise CorruptPackageError(f"{codec}: {type(e).__name__}") from e
+
+
 def sizes(data: bytes, mode: str, codecs: list[str] | None = None) -> dict[str, int]:
     """The encoded size under every codec that works."""
     return {c: len(compress(data, c, mode)) for c in codecs or available_codecs()}

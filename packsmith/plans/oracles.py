@@ -145,3 +145,4 @@ DEDUP_PACKAGES = f"""WITH RECURSIVE {_CDC_SHA}, counts AS (SELECT item_id, count
 SELECT doc_id, chunks, blobs, CASE WHEN chunks IS NOT NULL THEN sha256(coalesce(text, '')) END AS sha256 FROM documents LEFT JOIN counts ON item_id = doc_id"""
 DICTIONARIES = f"""WITH {_SHELVES}, sized AS (SELECT shelf, t, octet_length(encode(t))::BIGINT AS size FROM shelves)
 SELECT concat(shelf, '.txt') AS path, size, CASE WHEN size < 32768 THEN 0 ELSE len(list_filter(range(24), lambda k: k * greatest(1, (size - 4096) // 24) + 4096 <= size)) END::BIGINT AS slices, CASE WHEN size >= 32768 THEN sha256(t) END AS sha256 FROM sized"""
+STREAMED = "SELECT doc_id, unnest(['zstd', 'bz2', 'gzip', 'store']) AS codec, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256 FROM documents"

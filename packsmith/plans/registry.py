@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsmith.functions import packages, scalars, transforms
+from packsmith.functions import codecs, packages, scalars, transforms
 from packsmith.functions.arrow import in_batches, items_of
 from packsmith.operators import dedup, delta, pack, profile, routes
 from packsmith.plans import oracles
@@ -237,6 +237,20 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.codec_sizes(_docs(spark, sf_dir)).select(F.col("item_id").alias("doc_id"), "codec", "orig", "sha256", "verified")
 
 
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stream of parts of 1,000 bytes, through every codec and back."""
+    schema = pa.schema([("doc_id", pa.int64()), ("codec", pa.string()), ("size", pa.int64()), ("sha256", pa.string())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for item, data in items_of(batches, ["item_id", "content"]):
+            parts = [data[k : k + 1000] for k in range(0, len(data), 1000)]
+            for codec in ("zstd", "bz2", "gzip", "store"):
+                back = b"".join(codecs.decompress_stream(codecs.compress_stream(parts, codec, "fast"), codec, len(data)))
+                yield item, codec, len(back), hashlib.sha256(back).hexdigest()
+
+    return spread(_docs(spark, sf_dir).select("item_id", "content")).mapInArrow(lambda batches: in_batches(both(batches), schema), "doc_id bigint, codec string, size bigint, sha256 string")
+
+
 def best_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest codec: never above the bytes themselves, nor above any other codec's size; the bytes themselves for nothing."""
     sizes = stored(pack.codec_sizes(_docs(spark, sf_dir)), "sizes")
@@ -452,7 +466,7 @@ QUERIES = {
         profile_documents, entropy_by_source, byte_histogram, profile_pages_kind, size_format, mode_targets, parse_sizes, filename_hygiene,
         dedup_exact_documents, dedup_lines, cdc_chunks_documents, cdc_dedup_stats, cdc_gear_stats, manifest_restore, delta_create, delta_apply,
         blob_store, delta8_encode, xor8_encode, delta16_encode, transform_roundtrip, xor_with_reversed, png_stride, png_row_filter, bwt_part_names,
-        codec_roundtrip, best_codec, smart_select, container_roundtrip, container_advanced, container_v1, container_headers, tamper_detected,
+        codec_roundtrip, stream_roundtrip, best_codec, smart_select, container_roundtrip, container_advanced, container_v1, container_headers, tamper_detected,
         encrypt_roundtrip, benchmark_modes, zip_recompress, pack_many, target_size, ratio_report, benchmark_table, size_gate, file_scan,
         directory_roundtrip, routing, delta_packages, dedup_packages, dictionary_roundtrip,
     )
@@ -492,6 +506,7 @@ ORACLES = {
     "zip_recompress": oracles.MEMBERS,
     "cdc_gear_stats": oracles.GEAR_STATS,
     "best_codec": oracles.BEST,
+    "stream_roundtrip": oracles.STREAMED,
     "smart_select": oracles.RACED,
     "container_advanced": oracles.ADVANCED,
     "pack_many": oracles.PACKED_MANY,

@@ -125,6 +125,30 @@ def test_codec_choice():
         codecs.resolve_cap(-1, 1)
 
 
+@pytest.mark.parametrize("codec", ["zstd", "lzma", "bz2", "gzip", "store"])
+def test_streams(codec):
+    """Parts of any size in and out; two streams in a row; caps while decoding; damage."""
+    data = (b"a line of a long stream\n" * 200_000) + rng.randbytes(50_000)
+    parts = [data[k : k + 70_001] for k in range(0, len(data), 70_001)]
+    packed = b"".join(codecs.compress_stream(parts, codec))
+    assert codecs.decompress(packed, codec, len(data)) == data
+    assert codec == "store" or len(packed) < len(data) / 10
+    small = [packed[k : k + 777] for k in range(0, len(packed), 777)]
+    blocks = list(codecs.decompress_stream(small, codec, len(data)))
+    assert b"".join(blocks) == data and max(map(len, blocks)) <= codecs.BLOCK + 16
+    assert b"".join(codecs.decompress_stream([*small, packed], codec, 2 * len(data))) == 2 * data
+    assert b"".join(codecs.decompress_stream(codecs.compress_stream([], codec), codec, 10)) == b""
+    given = []
+    with pytest.raises(errors.OutputLimitError):
+        given.extend(codecs.decompress_stream(small, codec, 1000))
+    assert sum(map(len, given)) <= 1000
+    for cut in (len(packed) // 2, len(packed) - 1) if codec != "store" else ():
+        with pytest.raises(errors.CorruptPackageError):
+            list(codecs.decompress_stream([packed[:cut]], codec, len(data)))
+    with pytest.raises(errors.UnsupportedCodecError):
+        list(codecs.decompress_stream([b""], "odd", 1))
+
+
 def plain_chunks(data, least, average, most):
     h = start = 0
     ends = []
