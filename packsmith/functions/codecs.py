@@ -185,9 +185,10 @@ def compress_stream(parts: Iterable[bytes], codec: str = "auto", mode: str = "ba
 
 
 def _zstd_blocks(parts: Iterable[bytes]) -> Iterator[bytes]:
-    """Frames without a size do not tell a cut, so a frame of random bytes is put behind them: it comes out last, or the stream was cut."""
+    """Frames without a size do not tell a cut, so a frame of random bytes is put behind them: it comes out last, or the stream was cut.
+    Its checksum keeps its own bytes, which a cut block would take as they are, from ending like its content."""
     zstd, mark = _module("zstandard"), os.urandom(16)
-    source = io.BufferedReader(_Parts(chain(parts, [zstd.ZstdCompressor().compress(mark)])), BLOCK)
+    source = io.BufferedReader(_Parts(chain(parts, [zstd.ZstdCompressor(write_checksum=True).compress(mark)])), BLOCK)
     reader, held = zstd.ZstdDecompressor().stream_reader(source, read_across_frames=True), b""
     while part := reader.read(BLOCK):
         held += part
