@@ -32,7 +32,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -369,15 +369,12 @@ def calibrated(fitted: Identifier, rows: DataFrame, alphabets: list[int]) -> Non
     sums = rows.mapInArrow(losses, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
     if sums[0] is not None:
         fitted.scale = min(zip(sums, SCALES, strict=True))[1]
-    # A histogram of fixed bins: the same however the rows are dealt, and bounded.
-    bins = rows.where(F.col("n") >= MIN_SYMBOLS).groupBy("lang", F.floor(F.get("h", F.col("lang")) * BINS).alias("bin")).agg(F.count("*").alias("rows"))
-    bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("rows").alias("rows")).withColumn("lang", F.lit(-1)))
-    own = Window.partitionBy("lang")
-    ranked = bins.withColumn("upto", F.sum("rows").over(own.orderBy("bin"))).withColumn("all", F.sum("rows").over(own))
-    at = [F.min(F.when(share * F.col("upto") >= (share - 1) * F.col("all"), F.col("bin") + 1)) for share in (2, 1000)]
-    seen = ranked.groupBy("lang").agg(F.max("all").alias("all"), at[0].alias("middle"), at[1].alias("most")).collect()
+    # Exact quantiles of fixed bins: the same however the rows are dealt, and combined before the shuffle, as bounded counts of bins.
+    binned = rows.where(F.col("n") >= MIN_SYMBOLS).select("lang", (F.floor(F.get("h", F.col("lang")) * BINS) + 1).alias("bin"))
+    at = [F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY bin)").alias(name) for share, name in ((0.5, "middle"), (0.999, "most"))]
+    seen = binned.rollup("lang").agg(F.count("*").alias("all"), *at).collect()
     found = {r["lang"]: (r["all"], (r["middle"] + 2 * _stretch(r["all"]) * (r["most"] - r["middle"])) / BINS) for r in seen}
-    together, pooled = found.get(-1, (0, 0.0))
+    together, pooled = found.get(None, (0, 0.0))
     for k in range(len(fitted.langs)):
         total, limit = found.get(k, (0, 0.0))
         guess = float(np.log(max(2, alphabets[k])))
