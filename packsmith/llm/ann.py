@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from packsmith.session import stored
 
-CURVES, DIMS, BITS, TIE_BITS = 16, 8, 7, 7
+CURVES, DIMS, BITS, TIE_BITS = 16, 8, 7, 6
+#: What a key may lose as a number of double precision, at most.
+ROUNDING = 1024
 NEIGHBOURS, QUERY_STEP = 5, 50
 #: Rows of the sample that fits ranks and ranges, and queries whose neighbours are found by brute force.
 SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 256
@@ -76,6 +78,10 @@ class Curves:
         unit = _unit(sample)
         self.ranks = [np.sort(unit @ r, axis=0) for r in self.rotations]
         self.keys = np.stack([np.sort(k) for k in self.of(sample)])
+        self.knots = []
+        for own in self.keys:
+            keys, first = np.unique(own, return_index=True)
+            self.knots.append((np.r_[-1.0, keys, 2.0**62], np.r_[0.0, (first + 0.5) / len(own), 1.0]))
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         """The key of each vector on each curve (curves x vectors): the cell's place, then a hash that parts a cell."""
@@ -89,18 +95,17 @@ class Curves:
         return np.stack(out)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        """The share of the sample before each key."""
-        return np.stack([np.searchsorted(own, k) / len(own) for own, k in zip(self.keys, keys, strict=True)])
+        """The share of the sample before each key; between two keys of the sample in proportion, so that it tells apart more places than
+        the sample has, however many rows there are."""
+        return np.stack([np.interp(k.astype(np.float64), *own) for own, k in zip(self.knots, keys, strict=True)])
 
     def window(self, keys: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """The lowest and highest key of the windows around keys that reach the given share of the sample to either side."""
-        low, high = np.empty_like(keys), np.empty_like(keys)
-        for c, own in enumerate(self.keys):
-            n = len(own)
-            at = np.searchsorted(own, keys[c], side="left") - int(np.ceil(reach * n)) - 1
-            to = np.searchsorted(own, keys[c], side="right") + int(np.ceil(reach * n))
-            low[c] = np.where(at >= 0, own[np.clip(at, 0, n - 1)], np.iinfo(np.int64).min)
-            high[c] = np.where(to < n, own[np.clip(to, 0, n - 1)], np.iinfo(np.int64).max)
+        low, high, at = np.empty_like(keys), np.empty_like(keys), self.places(keys)
+        for c, (knots, ranks) in enumerate(self.knots):
+            below, above = (np.clip(np.interp(x, ranks, knots), 0, 2.0**62) for x in (at[c] - reach, at[c] + reach))
+            low[c] = np.where(at[c] - reach > 0, np.minimum(below.astype(np.int64) - ROUNDING, keys[c]), np.iinfo(np.int64).min)
+            high[c] = np.where(at[c] + reach < 1, np.maximum(above.astype(np.int64) + ROUNDING, keys[c]), np.iinfo(np.int64).max)
         return low, high
 
 
@@ -175,7 +180,7 @@ def _reach(curves: Curves, groups: DataFrame, queries: DataFrame, k: int, target
         return 0.0
     own, other = curves.places(curves.of(vectors)), curves.places(curves.of(np.array([r.v for r in ranked])))
     gaps = np.abs(own[:, [r.q for r in ranked]] - other).min(axis=0)
-    return float(np.quantile(gaps, target)) + 2.0 / curves.keys.shape[1]
+    return float(np.quantile(gaps, target, method="higher"))
 
 
 def nearest(table: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS, curves: int = CURVES, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
