@@ -2,6 +2,9 @@
 
 Words are found on UTF-8 bytes: the word classes used here treat every byte of a non-ASCII character alike,
 so byte positions decide and no text is decoded.
+
+Edge cases: a null text counts as an empty one; empty columns, and texts without a word, give empty arrays; a text of any length is one
+row, whatever the sizes that batches are cut to.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Places whose powers are kept.
+BLOCK = 1 << 16
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -83,17 +88,20 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.empty(n, U64), np.empty(n, U64)
-    up[0] = down[0] = 1
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of base modulo 2**64."""
+    out = np.ones(n, U64)
     k = 1
     while k < n:
-        up[k : 2 * k] = up[:k] * U64(pow(int(BASE), k, 1 << 64))
-        down[k : 2 * k] = down[:k] * U64(pow(int(BASE_INVERSE), k, 1 << 64))
+        out[k : 2 * k] = out[: min(k, n - k)] * U64(pow(base, k, 1 << 64))
         k *= 2
-    return up, down
+    return out
+
+
+@cache
+def _first_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse within a block of places; those of whole blocks are few and made as needed."""
+    return _powers(int(BASE), BLOCK), _powers(int(BASE_INVERSE), BLOCK)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -108,14 +116,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
     Different spans with equal hashes can be made on purpose, so equal hashes only propose equal spans: see grouped_spans.
     """
-    n = len(data)
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _powers(max(16, int(n).bit_length()))
-    sums = np.empty(n + 1, U64)
-    sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    up, down = _first_powers()
+    blocks = len(data) // BLOCK + 1
+    sums = np.zeros(len(data) + 1, U64)
+    weighted = sums[1:]
+    np.add(data, U64(1), out=weighted)
+    for k, power in enumerate(_powers(pow(int(BASE), BLOCK, 1 << 64), blocks)):
+        own = weighted[k * BLOCK : (k + 1) * BLOCK]
+        own *= up[: len(own)]
+        own *= power
+    np.cumsum(weighted, out=weighted)
+    back = down[starts % BLOCK] * _powers(pow(int(BASE_INVERSE), BLOCK, 1 << 64), blocks)[starts // BLOCK]
+    return mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(U64))
 
 
 #: Masks of the first 0 to 8 of eight bytes, little-endian.
