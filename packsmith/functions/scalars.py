@@ -63,13 +63,14 @@ def _map(values: dict) -> Column:
 def extension(path: Column) -> Column:
     """The extension in lower case with its dot; leading dots of the name make none."""
     name = F.element_at(F.split(path, "/"), -1)
-    return F.lower(F.regexp_extract(name, r"^\.*[^.].*?(\.[^.]*)$", 1))
+    return F.lower(F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]*)$", 1))
 
 
-def detect_kind(path: Column, content: Column, compat: bool = True) -> Column:
+def detect_kind(path: Column, content: Column, compat: bool = True, decoded: bool = False) -> Column:
     """The kind of a file: by extension, else by its first bytes, else text if it is UTF-8 without NUL, else generic.
 
     compat sniffs exactly the first 8,192 bytes; otherwise a character that is cut there does not count against the text.
+    decoded: the content comes from a string column, so what is left is text.
     """
     ext = extension(F.coalesce(path, F.lit("")))
     kind = None
@@ -79,6 +80,8 @@ def detect_kind(path: Column, content: Column, compat: bool = True) -> Column:
     for magic, least, name in MAGIC:
         kind = kind.when(head.startswith(magic) & (F.octet_length(content) >= least), F.lit(name))
     kind = kind.when(head.startswith("66747970") | (F.substring(head, 9, 8) == "66747970"), F.lit("video"))
+    if decoded:
+        return kind.otherwise(F.lit("text"))
     sample = F.substring(content, 1, SNIFF_BYTES)
     text = F.is_valid_utf8(sample.cast("string"))
     if not compat:

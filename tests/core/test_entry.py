@@ -42,6 +42,19 @@ def test_query(spark, db, name):
     assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical(want.columns, want.fetchall())
 
 
+def test_kinds_of_odd_pages(spark, tmp_path):
+    """Characters cut at the 8,192nd byte, NUL, leading dots, line breaks and a dotted I, against the SQL."""
+    long = ["a" * k + c for k in range(8188, 8194) for c in ("é", "漢", "😀", "\x00")]
+    names = ["a.png", ".png", "..json", "a\n.gif", "a\r\nb.Zip", "\u2028.csv", "a.png\n", "a.G\u0130F", "a.\u212adf", "a.m\u212av", "a.jpg/", "a.jpg?v=1", "..", ""]
+    pages = [(f"https://h.example/{n}", "<html>") for n in names] + [(".png", "x"), (None, "x\x00"), (None, None), ("a", "GIF8\x00"), ("a", "éxxftyp")] + [("https://h.example/", h) for h in long]
+    spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["profile_pages_kind"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(registry.ORACLES["profile_pages_kind"])
+    assert sorted(map(tuple, got.select("page_id", "kind", "steps").collect())) == sorted(want.project("page_id, kind, steps").fetchall())
+
+
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 

@@ -1,5 +1,6 @@
 """Scalar functions against plain Python rules."""
 
+import os
 import random
 import re
 
@@ -27,6 +28,16 @@ def test_kinds(spark):
     assert values(spark, [("csv",), ("odd",)], "k string", sc.suggest_pipeline(F.col("k"))) == [sc.STEPS["csv"], sc.STEPS["generic"]]
 
 
+def test_extensions_of_names_with_line_breaks(spark):
+    paths = ["a\nb.PNG", "d.x/a\r\n.b.zip", "\u2028x.csv", ".\n.md", "a.gif\n", "\n", ".a\nb"]
+    assert values(spark, [(p,) for p in paths], "p string", sc.extension(F.col("p"))) == [os.path.splitext(p)[1].lower() for p in paths]
+
+
+def test_kinds_of_strings(spark):
+    rows = [("x", ("a" * 8191 + "é").encode()), ("x", b"nul \x00"), ("x", None), (None, b"%PDF-1"), ("x.csv", b"")]
+    assert values(spark, rows, "path string, content binary", sc.detect_kind(F.col("path"), F.col("content"), decoded=True)) == ["text", "text", "text", "pdf", "csv"]
+
+
 def plain_size(n):
     n = float(n)
     for unit in ("B", "KB", "MB", "GB"):
